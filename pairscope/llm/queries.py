@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, line_dedup, packing, url_reputation, warc
+from . import blob_ledger, line_dedup, near_dup, packing, url_reputation, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +64,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_packing"] = op10_packing
+
+
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, percent=85)
+    return found.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+QUERIES["op7_near_dup"] = op7_near_dup
