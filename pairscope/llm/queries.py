@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import blob_ledger, contamination, line_dedup, near_dup, packing, toxicity, url_reputation, warc
+from . import blob_ledger, chat_trie, contamination, line_dedup, near_dup, packing, toxicity, url_reputation, voronoi_knn, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,3 +85,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_decontamination": op4_decontamination, "op1_toxicity": op1_toxicity}
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
+    return chat_trie.read_back(chat_trie.prefix_blocks(turns))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return voronoi_knn.top_inner_products(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+QUERIES |= {"op2_chat_format": op2_chat_format, "op5_topk": op5_topk}
