@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 EXAMPLES_TOXIC, EXAMPLES_CLEAN, TERMS, NEIGHBOURS, BLOCK = 1500, 2500, 4000, 15, 64
-LEAST_SUPPORT, LEAST_Z = 3, 4.0
+LEAST_SUPPORT, LEAST_Z = 5, 6.0
 PREFIXES = (4, 5, 6)
 #: Letters and digits of ASCII in lower case and all bytes of other characters make words; all else separates.
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() and not chr(b).isupper() else ord(chr(b).lower()) if chr(b).isupper() else 32 for b in range(256))
