@@ -5,9 +5,9 @@ combinations (A_i, B_j).  That takes 2*m*r minhashes where independent tables wo
 
 Texts with equal shingle sets are one class.  Classes that share a table key are candidates; to keep hot keys linear,
 a key first compares all its members with one leader, then, where members are still apart, with the member that has
-most links, and only then the members of different components with each other.  No pair of different components that
-shares a key is skipped, so no cap exists.  Candidates pass a size bound (exact) and a 2-bit sketch bound, and links are
-confirmed on full shingle sets.
+most links; whatever is still apart is compared by an exact prefix join on the shingles themselves.  No pair of different
+components that shares a key is skipped, so no cap exists.  Candidates pass a size bound (exact) and a 2-bit sketch
+bound, and links are confirmed on full shingle sets.
 
 Defined cases: null and empty texts have an empty set, no links, and stay; a null id takes no part in links and is kept;
 rows that repeat an id count once for links; an empty table gives an empty table; extra columns are passed through, those
@@ -29,8 +29,8 @@ from .words import WordHashes, shingles
 
 #: Missed with probability 2 * (1 - J**r)**m at similarity J: 7e-5 at 0.85, 2e-6 at 0.9 for m=8, r=2.
 M, R = 8, 2
-#: Cells (of 2*m*r, two bits each) that may differ; at J=0.8 more differ with probability under 1e-4.
-CELLS = 15
+#: Cells (of 2*m*r, two bits each) that may differ; at J=0.8 more differ with probability 1e-4, at 0.85 with 4e-6.
+CELLS = 13
 #: Ids of candidates that may be broadcast (8 bytes each); above this, texts are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -106,11 +106,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words:
     return chosen.mapInArrow(task, "id long, set array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The candidate pairs (x, y) with 100 * intersection >= percent * union on full sets, as a stored table."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    sets = stored(sets_of(docs, ids, id_col, text_col, words), "sets")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (x, y) with 100 * intersection >= percent * union on full sets (id, set), as a stored table."""
     left = sets.select(F.col("id").alias("x"), F.col("set").alias("sx"))
     right = sets.select(F.col("id").alias("y"), F.col("set").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy"))
@@ -118,6 +115,30 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     return stored(pairs.join(left, "x").join(right, "y").where(100 * both >= percent * union).select("x", "y").distinct(), "confirmed")
 
 
+def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int, similar) -> DataFrame:
+    """Candidate pairs (x, y) across components among placed (id, n, bits, part), complete for the threshold.
+
+    Sets that can link share one of their rarest n - ceil(percent * n / 100) + 1 shingles, in any order that is the same
+    for all sets.  The order here puts shingles of a single component first: they find nothing, so a text with that
+    many shingles of its own is out, and all others look up only what is left of their prefix.  Rows grow with the texts,
+    not with the pairs of a group of edited copies."""
+    each = placed.join(sets, "id").select("id", "n", "bits", "part", F.explode("set").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle", "df")
+    held = each.join(common, "shingle").groupBy("id", "n", "bits", "part").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    own = F.col("n") - F.size("held")
+    prefix = held.where(length > own).select("id", "n", "bits", "part", own.alias("own"), F.posexplode(F.slice("held", F.lit(1), (length - own).cast("int"))).alias("at", "p"))
+    prefix = stored(prefix.select("id", "n", "bits", "part", (F.col("n") - F.col("own") - F.col("at")).alias("rest"), F.col("p.shingle").alias("shingle")), "prefixes")
+    # one side of a pair is outside the shingle's first component, so a large component never meets itself
+    first = prefix.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle", "lo")
+    named = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "bits", "part", "rest")]
+    # at its first common shingle a pair's sets hold `rest` shingles still, which must reach the least intersection
+    enough = F.least("x_rest", "y_rest") * F.lit(100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))
+    outer = prefix.join(first, "shingle").where("part <> lo").select("shingle", "lo", *named("x"))
+    met = outer.join(prefix.select("shingle", *named("y")), "shingle").where((F.col("x_part") != F.col("y_part")) & ((F.col("y_part") == F.col("lo")) | (F.col("x_id") < F.col("y_id"))) & enough & similar)
+    return met.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct()
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = M, r: int = R) -> DataFrame:
     """(id, n_shingles, component_id) per row of docs; links need percent/100 similarity of word shingle sets."""
     all_sketches = stored(sketches(docs, id_col, text_col, words, m, r), "sketches")
@@ -132,9 +153,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cells = F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     similar = (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")) & (cells <= CELLS)
 
-    def side(df: DataFrame, s: str, *more: str) -> DataFrame:
-        return df.select("key", *[F.col(c).alias(f"{s}_{c}" if c != "id" else s) for c in ("id", "n", "bits", *more)])
-
     # first star: members against the smallest id of their key
     keys = members.groupBy("key").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     shared = stored(members.join(keys, "key"), "shared")
@@ -142,7 +160,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = facts.select(F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits"))
     star = shared.where("id <> x").select("x", F.col("id").alias("y"), F.col("n").alias("y_n"), F.col("bits").alias("y_bits")).distinct()
     tried = star.join(leaders, "x").where(similar).select("x", "y")
-    links = confirmed(tried, docs, id_col, text_col, words, percent)
+
+    def settled(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = stored(candidates, "pairs")
+        ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+        return pairs, confirmed(pairs, stored(sets_of(docs, ids, id_col, text_col, words), "sets"), percent)
+
+    tried, links = settled(tried)
     parts = stored(connected_components(links, "x", "y"), "parts")
 
     def apart(parts: DataFrame) -> DataFrame:
@@ -163,21 +187,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
         .distinct()
     )
-    more = confirmed(second, docs, id_col, text_col, words, percent)
+    second, more = settled(second)
     links = links.unionByName(more)
     parts = stored(connected_components(links, "x", "y"), "parts")
 
-    # the rest: members of different components of one key, all of them
+    # the rest: members of keys that hold several components, all of them
     open2 = apart(parts)
-    third = (
-        side(open2, x, "part", "leader")
-        .join(side(open2, y, "part"), "key")
-        .where((F.col("x") < F.col("y")) & (F.col("x_part") != F.col("y_part")) & (F.col("x") != F.col("x_leader")) & similar)
-        .select("x", "y")
-        .distinct()
-        .join(second.unionByName(tried), ["x", "y"], "left_anti")
-    )
-    last = confirmed(third, docs, id_col, text_col, words, percent)
+    sets = stored(sets_of(docs, open2.select("id").distinct(), id_col, text_col, words), "sets")
+    third = prefix_pairs(open2.select("id", "n", "bits", "part").distinct(), sets, percent, similar)
+    last = confirmed(stored(third, "pairs"), sets, percent)
     links = links.unionByName(last)
     parts = stored(connected_components(links, "x", "y"), "parts")
 
