@@ -92,7 +92,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, m: int = M
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, set): the full shingle sets of the given ids, one row per id."""
+    """(id, set, parity): the full shingle sets of the given ids, and for each the parities of its shingles in 512 cells.
+
+    Every shingle that only one of two sets holds flips one cell, so sets differ by as many shingles as their parities
+    differ in cells, at least."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     few = ids.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "id", "left_semi")
@@ -100,10 +103,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [np.unique(shingles(hashes.of(t.as_py() or b""), words)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            sets = [np.unique(shingles(hashes.of(t.as_py() or b""), words)) for t in batch.column(1)]
+            cells = [np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % 512, minlength=512).astype(np.uint8) & 1).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], cells))], names=["id", "set", "parity"])
 
-    return chosen.mapInArrow(task, "id long, set array<long>")
+    return chosen.mapInArrow(task, "id long, set array<long>, parity array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,12 +132,14 @@ def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int, similar) -> D
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     own = F.col("n") - F.size("held")
     prefix = held.where(length > own).select("id", "n", "bits", "part", own.alias("own"), F.posexplode(F.slice("held", F.lit(1), (length - own).cast("int"))).alias("at", "p"))
-    prefix = stored(prefix.select("id", "n", "bits", "part", (F.col("n") - F.col("own") - F.col("at")).alias("rest"), F.col("p.shingle").alias("shingle")), "prefixes")
+    prefix = stored(prefix.join(sets.select("id", "parity"), "id").select("id", "n", "bits", "part", "parity", (F.col("n") - F.col("own") - F.col("at")).alias("rest"), F.col("p.shingle").alias("shingle")), "prefixes")
     # one side of a pair is outside the shingle's first component, so a large component never meets itself
     first = prefix.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle", "lo")
-    named = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "bits", "part", "rest")]
+    named = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "bits", "part", "rest", "parity")]
     # at its first common shingle a pair's sets hold `rest` shingles still, which must reach the least intersection
     enough = F.least("x_rest", "y_rest") * F.lit(100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))
+    apart = sum((F.bit_count(F.col("x_parity")[k].bitwiseXOR(F.col("y_parity")[k])) for k in range(8)), F.lit(0))
+    enough &= F.lit(100 + percent) * apart <= F.lit(100 - percent) * (F.col("x_n") + F.col("y_n"))
     outer = prefix.join(first, "shingle").where("part <> lo").select("shingle", "lo", *named("x"))
     met = outer.join(prefix.select("shingle", *named("y")), "shingle").where((F.col("x_part") != F.col("y_part")) & ((F.col("y_part") == F.col("lo")) | (F.col("x_id") < F.col("y_id"))) & enough & similar)
     return met.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct()
