@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
-#: Strings that chat templates treat as control; none of them contains a backslash.
-CONTROL = ("<|", "|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>")
+#: Strings that chat templates treat as control; none holds a backslash, none begins with another's last characters.
+CONTROL = ("<|", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>")
 CONTROLS = re.compile("|".join(map(re.escape, CONTROL)))
 BROKEN = re.compile(r"\\(\\?)", re.S)
 BLOCK_CHARS, BLOCK_LEAVES = 1 << 20, 20_000

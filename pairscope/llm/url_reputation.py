@@ -70,20 +70,26 @@ def concentration(units: DataFrame, mean: str) -> float:
 
 
 def host_reputation(hosts: DataFrame) -> DataFrame:
-    """hosts (host, n, s) with posterior columns mean and sd; one row per host, sums per level are pre-aggregated."""
+    """hosts (host, n, s) with posterior columns mean and sd; one row per host, sums per level are pre-aggregated.
+
+    A prior never holds the outcomes it is applied to: a host is shrunk to its domain without the host, a domain to its
+    suffix without the domain."""
     named = hosts.select("host", "n", "s", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
     total = named.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     overall = ((total["s"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)
-
-    def shrunk(units: DataFrame, prior: str, out: str) -> DataFrame:
-        k = concentration(units, prior)
-        return units.withColumn(out, (F.col("s") + k * F.col(prior)) / (F.col("n") + k))
-
-    domains = named.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("above", F.lit(overall))
-    by_suffix = shrunk(suffixes, "above", "m_suffix").select("suffix", "m_suffix")
-    by_domain = shrunk(domains.join(by_suffix, "suffix"), "m_suffix", "m_domain").select("domain", "m_domain")
-    level = named.join(by_domain, "domain")
+    sums = [F.sum("n").alias("n"), F.sum("s").alias("s")]
+
+    def without(outer: DataFrame, inner: DataFrame, key: str, prior, k: float, out: str) -> DataFrame:
+        """inner with the shrunk rate of its outer unit, less its own outcomes."""
+        both = inner.join(outer.withColumnsRenamed({"n": "n_out", "s": "s_out"}), key)
+        return both.withColumn(out, (F.col("s_out") - F.col("s") + k * prior) / (F.col("n_out") - F.col("n") + k)).drop("n_out", "s_out")
+
+    domains = named.groupBy("suffix", "domain").agg(*sums)
+    suffixes = domains.groupBy("suffix").agg(*sums)
+    k_suffix = concentration(suffixes.withColumn("m", F.lit(overall)), "m")
+    by_suffix = without(suffixes, domains, "suffix", F.lit(overall), k_suffix, "m_suffix")
+    k_domain = concentration(by_suffix, "m_suffix")
+    level = without(by_suffix.drop("suffix"), named, "domain", F.col("m_suffix"), k_domain, "m_domain")
     k = concentration(level, "m_domain")
     a = F.col("s") + k * F.col("m_domain")
     ab = F.col("n") + F.lit(k)
