@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _fallback: dict[str, str] = {}
+_open_scratches: list[list] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -32,9 +34,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    if _open_scratches:
+        _open_scratches[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch():
+    """Tables stored inside are removed at the end, but for those handed to the yielded function."""
+    held: list = []
+    kept: list = []
+    _open_scratches.append(held)
+    try:
+        yield kept.append
+    finally:
+        _open_scratches.remove(held)
+        for df in held:
+            if not any(df is k for k in kept):
+                discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a frame made by stored()."""
     spark = df.sparkSession

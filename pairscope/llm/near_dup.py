@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 from .components import connected_components
 from .words import WordHashes, shingles
 
@@ -145,11 +145,16 @@ def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int, similar) -> D
     return met.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct()
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = M, r: int = R) -> DataFrame:
-    """(id, n_shingles, component_id) per row of docs; links need percent/100 similarity of word shingle sets."""
-    all_sketches = stored(sketches(docs, id_col, text_col, words, m, r), "sketches")
+def classes_of(all_sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sketches with a set and an id, and (n, set_a, set_b, rep): the smallest id of each distinct set."""
     full = all_sketches.where("n > 0 and id is not null")
-    classes = full.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"))
+    return full, full.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"))
+
+
+def linked_components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, m: int, r: int) -> tuple[DataFrame, DataFrame]:
+    """Stored sketches of all rows, and stored (id, component) of the class representatives that have links."""
+    all_sketches = stored(sketches(docs, id_col, text_col, words, m, r), "sketches")
+    full, classes = classes_of(all_sketches)
     reps = full.join(classes, ["n", "set_a", "set_b"]).where("id = rep").dropDuplicates(["id"]).select("id", "n", "bits", "a", "b")
     table = F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("key")
     members = reps.select("id", "n", "bits", table)
@@ -204,7 +209,15 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = confirmed(stored(third, "pairs"), sets, percent)
     links = links.unionByName(last)
     parts = stored(connected_components(links, "x", "y"), "parts")
+    return all_sketches, parts
+
 
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = M, r: int = R) -> DataFrame:
+    """(id, n_shingles, component_id) per row of docs; links need percent/100 similarity of word shingle sets."""
+    with scratch() as keep:
+        all_sketches, parts = linked_components(docs, id_col, text_col, words, percent, m, r)
+        keep(all_sketches), keep(parts)
+    full, classes = classes_of(all_sketches)
     classed = full.join(classes, ["n", "set_a", "set_b"], "left").select(F.col("id"), "n", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     grouped = classed.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     rest = all_sketches.where("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
