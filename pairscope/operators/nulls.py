@@ -40,3 +40,13 @@ def second_variable_null(df: DataFrame, id_col: str, a: str, b: str, err: str, d
     """(draw, score) of one pair with its second variable permuted."""
     moved = permuted(df, id_col, b, draws, seed)
     return pair_scores(moved, [a, b], err, weighted, keys=["draw"]).select("draw", "score")
+
+
+def own_shuffle_null(df: DataFrame, id_col: str, fields: list[str], pairs: list[tuple[int, int]], errs: list[str], draws: int, seed: int, weighted: bool = False) -> DataFrame:
+    """(draw, i, j, score): every candidate with its own permutation of its second variable in every draw."""
+    out = None
+    for k, (i, j) in enumerate(pairs):
+        moved = permuted(df.select(id_col, F.col(fields[i]).alias("a"), F.col(fields[j]).alias("b"), *errs), id_col, "b", draws, seed * 100_003 + k)
+        one = pair_scores(moved, ["a", "b"], errs, weighted, keys=["draw"]).select("draw", F.lit(i).alias("i"), F.lit(j).alias("j"), "score")
+        out = one if out is None else out.unionByName(one)
+    return out

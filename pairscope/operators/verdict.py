@@ -54,3 +54,8 @@ def parameters(kind: str, alphabet: int, classes: int, window: int = 0, dim: int
 def width_guard(alphabet: int, window: int, budget: int = 6000) -> str | None:
     width = alphabet * alphabet + alphabet * window + 1
     return f"SKIPPED: width {width} > {budget}" if width > budget else None
+
+
+def identifiable(rows: int, parameters: int) -> str | None:
+    """None where there are more training rows than parameters, else the note that stands in for a fit."""
+    return None if rows > parameters else f"SKIPPED: {rows} rows for {parameters} parameters"

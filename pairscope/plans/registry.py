@@ -14,7 +14,7 @@ from ..functions.hashing import sql_draw32
 from ..operators import candidates, criterion, encode, lags, ngram, nulls, opponents, split, suffstats, verdict  # noqa: F401
 from ..sources import generators, tokens
 from ..sources.tables import table
-from . import modes
+from . import modes, ngram_program
 from .detect import detect
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -575,3 +575,31 @@ def mode_tune(spark, d):
 @query()
 def mode_gbm(spark, d):
     return modes.gbm(spark, document_words(spark, d), fields=5, K=8, limit=20_000, grid=[{"kind": "gbt", "depth": 3, "rounds": 2, "rate": 0.1}])
+
+
+@query()
+def mode_real_bytes(spark, d):
+    p = ngram_program.prepare(ngram_program.symbols(table(spark, d, "documents"), "doc_id", "text", "byte"), "byte", 32)
+    return modes.real(spark, p.stream, p.n, 32, rare=4)
+
+
+@query()
+def ngram_family(spark, d):
+    return ngram_program.run(spark, table(spark, d, "documents"), "doc_id", "text", grans=("word",), ks=(16,), lags=(1,), orders=3)
+
+
+@query()
+def corpus_statistics(spark, d):
+    docs = table(spark, d, "documents")
+    return ngram_program.statistics(ngram_program.prepare(ngram_program.symbols(docs, "doc_id", "text", "byte"), "byte", 64))
+
+
+@query(
+    """with b as (select unnest(regexp_extract_all(hex(encode(text)), '..')) h, doc_id, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) p from documents),
+r as (select row_number() over (order by doc_id, p) - 1 t, cast('0x' || h as int) raw from b), n as (select 7 * count(*) // 8 e from r),
+f as (select raw, count(*) c from r, n where t < e group by 1 order by c desc, raw limit 15), c as (select t < e train, coalesce(f.raw, -1) tok from r left join f using (raw), n)
+select train, tok = -1 unk, count(*) n from c group by 1, 2"""
+)
+def byte_vocabulary_unknowns(spark, d):
+    p = ngram_program.prepare(ngram_program.symbols(table(spark, d, "documents"), "doc_id", "text", "byte"), "byte", 16)
+    return p.stream.groupBy((F.col("t") < p.train_end).alias("train"), (F.col("x") == 0).alias("unk")).agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairscope.functions import metrics
 from pairscope.operators import criterion, encode, lags, logistic, lowrank, ngram, nulls, readout, split, suffstats, verdict
 from pairscope.operators.candidates import pool, ranked
-from pairscope.plans import cells, modes
+from pairscope.plans import cells, modes, ngram_program, run_mode
 from pairscope.plans.detect import detect
 from pairscope.sources import generators, tables, tokens
 from pairscope.streaming.criterion import windowed_cells
@@ -240,3 +240,31 @@ def test_streaming_cells_equal_batch(spark, data, tmp_path):
     key = lambda r: (r["window"]["start"], r["a"], r["b"])
     got = sorted(((key(r), r["n"], round(r["S_0"], 6)) for r in spark.table("cells").collect()), key=repr)
     assert got == sorted(((key(r), r["n"], round(r["S_0"], 6)) for r in batch.collect()), key=repr)
+
+
+def test_program_on_structured_and_shuffled_text(spark):
+    texts = spark.createDataFrame([(i, "the cat sat on the mat and the dog ran " * 40) for i in range(20)], "doc_id long, text string")
+    p = ngram_program.prepare(ngram_program.symbols(texts, "doc_id", "text", "word"), "word", 8)
+    stats = ngram_program.statistics(p).first()
+    assert p.n == 8000 and p.train_end == 7000 and stats["train_unk_rate"] == pytest.approx(0.1, abs=0.11)
+    cards = ngram_program.family(p, 1, 3)
+    assert ngram_program.bar(cards).first()["authorised"]
+    assert ngram_program.leak_control(p, 1, 3).first()["passes"]
+
+
+def test_sweep_grid(spark):
+    assert run_mode.grid({"K": "4,8", "seed": "0", "noise": "0.5"}) == [{"K": 4, "seed": 0, "noise": 0.5}, {"K": 8, "seed": 0, "noise": 0.5}]
+    rows = run_mode.sweep(spark, "envelope", {"K": "3,4", "samples": "1500", "n_cand": "5", "W": "5", "k": "2"}).collect()
+    assert [r["K"] for r in rows] == [3, 4] and all(r["rank"] == 1 for r in rows)
+
+
+def test_own_shuffle_null(rows):
+    df, _ = rows
+    got = nulls.own_shuffle_null(df, "id", ["a", "b", "c"], [(0, 1), (0, 2)], ["err"], 3, 1)
+    assert got.count() == 6 and nulls.null_threshold(got).first()["threshold"] > 0
+
+
+def test_skips_are_notes(spark):
+    assert verdict.identifiable(10, 20).startswith("SKIPPED") and verdict.identifiable(30, 20) is None
+    notes = {r["arm"]: r["note"] for r in modes.als(spark, K=12, samples=300, sweeps=2).collect()}
+    assert notes["exact"].startswith("SKIPPED")
