@@ -47,13 +47,19 @@ def pinned_corpus(spark: SparkSession, path: str, size: int, sha256: str) -> Dat
 _fallback: dict[str, str] = {}
 
 
-def materialized(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder (spark.checkpoint.dir) and read it back; ends the lineage."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as on one machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _fallback.setdefault(app, "") or _fallback.__setitem__(app, "file://" + tempfile.mkdtemp()) or _fallback[app]
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _fallback:
+        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="pairscope-")
+    return _fallback[app]
+
+
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back; ends the lineage."""
+    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
