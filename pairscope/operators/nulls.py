@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.hashing import digest
 from .criterion import pair_scores
+from .ranks import global_rank
 
 
 def draws_frame(df: DataFrame, draws: int) -> DataFrame:
@@ -17,12 +17,15 @@ def draws_frame(df: DataFrame, draws: int) -> DataFrame:
 def permuted(df: DataFrame, id_col: str, col: str, draws: int, seed: int, out: str | None = None) -> DataFrame:
     """df once per draw (column draw) with `col` permuted over the rows by the order of md5(seed:perm<draw>:id).
 
-    Natural and hash ranks are taken per draw, so draws rank side by side; the wide rows are joined by rank once."""
+    (draw, hash, id, value) is ranked for all draws at once; every draw has as many rows as df, so a rank tells its draw
+    and its place.  The wide rows are joined by their own rank.  id_col must tell rows apart."""
     out = out or col
-    narrow = df.select(id_col, col).crossJoin(F.broadcast(draws_frame(df, draws)))
+    total = df.count()
+    narrow = df.select(id_col, F.col(col).alias("__moved")).crossJoin(F.broadcast(draws_frame(df, draws)))
     key = digest(F.concat(F.lit(f"{seed}.").cast("string"), F.col("draw").cast("string")), "perm", F.col(id_col))
-    by_hash = narrow.select("draw", F.col(col).alias("__moved"), F.row_number().over(Window.partitionBy("draw").orderBy(key, id_col)).alias("__r"))
-    natural = df.withColumn("__r", F.row_number().over(Window.orderBy(id_col)))
+    ranked = global_rank(narrow, ["draw", key, id_col], "__r")
+    by_hash = ranked.select("draw", "__moved", (F.col("__r") - F.col("draw") * F.lit(total)).alias("__r"))
+    natural = global_rank(df, [id_col], "__r")
     return natural.join(by_hash, "__r").drop("__r").withColumn(out, F.col("__moved")).drop("__moved")
 
 

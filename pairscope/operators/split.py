@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.hashing import digest, uniform
+from .ranks import global_rank
 
 
 def strided(t: Column, start: int, stride: int) -> Column:
@@ -36,11 +36,11 @@ def hash_split(df: DataFrame, id_col: str, share: float, seed: int, out: str = "
 
 
 def hash_order_split(df: DataFrame, id_col: str, share: float, seed: int, out: str = "split") -> DataFrame:
-    """Exactly the first share of rows in hash order is 'tr'; ranks only (hash, id) globally."""
-    order = df.select(id_col, F.row_number().over(Window.orderBy(digest(seed, "split", F.col(id_col)), id_col)).alias("__r"))
-    total = df.agg(F.count(F.lit(1)).alias("__n"))
-    rank = order.join(F.broadcast(total)).select(id_col, F.when(F.col("__r") <= F.floor(F.col("__n") * share), F.lit("tr")).otherwise(F.lit("te")).alias(out))
-    return df.join(rank, id_col)
+    """Exactly the first share of rows in hash order is 'tr'; only (hash, id) is ranked."""
+    total = df.count()
+    ranked = global_rank(df.select(id_col), [digest(seed, "split", F.col(id_col)), id_col], "__r")
+    side = F.when(F.col("__r") <= int(total * share), F.lit("tr")).otherwise(F.lit("te"))
+    return df.join(ranked.select(id_col, side.alias(out)), id_col)
 
 
 def ordinal_cut(ordinal: Column, n: int, share: float = 0.7) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.hashing import digest, symbol, uniform
 
@@ -62,6 +61,8 @@ def rare_signal(lagged: DataFrame, a: str, rare: int, comps: int, seed: int, alp
 
 
 def shuffled(stream: DataFrame, seed: int, t: str = "t", x: str = "x") -> DataFrame:
-    """The same symbols in hash order over the same positions: no structure survives.  Two narrow columns are ordered."""
-    order = F.row_number().over(Window.orderBy(digest(seed, "shuffle", F.col(t)), t)) - 1
-    return stream.select(order.cast("long").alias(t), x)
+    """The same symbols in hash order over the same positions: no structure survives.  Two narrow columns are ranked."""
+    from ..operators.ranks import global_rank
+
+    ranked = global_rank(stream.select(t, x), [digest(seed, "shuffle", F.col(t)), t], "__r")
+    return ranked.select((F.col("__r") - 1).cast("long").alias(t), x)
