@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that chat templates treat as control; none holds a backslash, none begins with another's last characters.
 CONTROL = ("<|", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>")
@@ -96,6 +98,7 @@ class Block:
 
 def prefix_blocks(turns: DataFrame, block_chars: int = BLOCK_CHARS, block_leaves: int = BLOCK_LEAVES) -> DataFrame:
     """Blocks (BLOCKS_DDL) of the prefix tree of turns (conv_id, turn, role, text)."""
+    small_batches(turns.sparkSession)
     ordered = conversations_in_order(turns)
     n = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = ordered.repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .words import WordHashes, shingles
 
 BIN_BITS = 6
@@ -103,6 +103,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, words: int) -> Iter
     """The benchmark as indexes of bounded size, one at a time; rows stream through the driver."""
     hashes = WordHashes()
     items, total = [], 0
+    small_batches(benchmark.sparkSession)
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("binary").alias("t")).distinct()
     for row in rows.toLocalIterator():
         s = np.unique(shingles(hashes.of(bytes(row["t"] or b"")), words))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import scratch, small_batches, stored
 from .components import connected_components
 from .words import WordHashes, shingles
 
@@ -77,6 +77,7 @@ def sketch(sets: np.ndarray, mul: np.ndarray, xor: np.ndarray, m: int, r: int) -
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, m: int = M, r: int = R) -> DataFrame:
     mul, xor = coefficients(2 * m * r)
+    small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()

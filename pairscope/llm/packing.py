@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TIERS = (1024, 512, 256, 128)
 #: Fixed value: the published pre-tokenizer pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -203,6 +205,7 @@ def pack_documents(
 
     tokenizer is the path of a tokenizers file, or a function that finds it on the executor."""
     longest = max(tiers)
+    small_batches(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer if isinstance(tokenizer, str) else tokenizer())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import stored
+from .common import small_batches, stored
 
 PIVOTS, BLOCK_ROWS, BATCH_QUERIES, MOST_SMALLEST = 48, 4096, 16_384, 64
 
@@ -163,6 +163,7 @@ def top_of_dimension(data: DataFrame, asked: DataFrame, k: int, pivots: int, rep
 
 def top_inner_products(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest integer inner products, ties to the smaller id."""
+    small_batches(table.sparkSession)
     data = stored(quantised(table, id_col, vec_col, scale), "vectors")
     asked = stored(quantised(queries, id_col, vec_col, scale).distinct(), "queries")
     repeats = data.groupBy("id").count().agg(F.max("count").alias("n")).first()["n"] or 0

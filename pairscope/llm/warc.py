@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_root
+from .common import shared_root, small_batches
 
 INDEX_SCHEMA = "id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 READ_SCHEMA = "id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -103,6 +103,7 @@ def write_archives(
 ) -> DataFrame:
     """Write one record per row under folder and return the stored index (INDEX_SCHEMA)."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = (folder or f"{shared_root(spark)}/warc-{uuid.uuid4().hex}").rstrip("/")
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(
