@@ -68,7 +68,7 @@ class Encoder(dict):
     remembered (up to `limit` words: a cache, ids never depend on it).  Texts where that does not hold, and texts that
     hold an added token, are encoded whole."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         super().__init__()
         from tokenizers import Tokenizer
 

@@ -52,7 +52,7 @@ def terms_of(word: bytes) -> list[bytes]:
 class TermCounts(dict):
     """word -> indices of the kept terms it holds; remembers up to a limit."""
 
-    def __init__(self, terms: dict[bytes, int], limit: int = 300_000):
+    def __init__(self, terms: dict[bytes, int], limit: int = 150_000):
         super().__init__()
         self.terms, self.limit = terms, limit
 

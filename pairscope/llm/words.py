@@ -13,7 +13,7 @@ S29, S32 = np.uint64(29), np.uint64(32)
 class WordHashes(dict):
     """word -> 64-bit hash; remembers up to `limit` words, which bounds memory and never changes a hash."""
 
-    def __init__(self, limit: int = 150_000):
+    def __init__(self, limit: int = 50_000):
         super().__init__()
         self.limit = limit
 
