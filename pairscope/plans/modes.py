@@ -27,8 +27,12 @@ CELL_DDL = "K int, n_cand int, samples int, seed int, W int, true_lag int, bar d
 
 
 def run_cell(spark: SparkSession, K: int = 8, n_cand: int = 20, samples: int = 20_000, seed: int = 0, W: int = 10, k: int = 4, light: bool = False, draws: int = 20) -> dict:
-    """One single-interaction cell: bar, additive, rank of the true lag, exact block of the pick, and the controls."""
-    n = 2 * 7 * samples if samples < 5_000 else 4 * samples
+    """One single-interaction cell: bar, additive, rank of the true lag, exact block of the pick, and the controls.
+
+    The stream has 14 * samples positions at every size: with a stride of 7 and the first half for training, samples is
+    the number of training rows but for the first positions, whose lags are undefined.  (The reference's samples is the
+    length of the stream.)"""
+    n = 2 * 7 * samples
     stream = generators.single_interaction(spark, n, K, k, seed)
     d = cells.stream_design(stream, n, K, K, max(W, n_cand + 1), n_cand + 1, slots=list(range(W)))
     base = cells.fit_additive(d)

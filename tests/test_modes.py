@@ -40,3 +40,22 @@ def test_natural_rank_equals_a_count_over_all_fits(spark):
     pick = bits[row["pick_i"], row["pick_j"]]
     assert pick == pytest.approx(row["pick_bits"], abs=1e-9)
     assert row["rank_by_bits"] == 1 + sum(b < pick - 1e-12 for b in bits.values())
+
+
+def test_training_rows_follow_samples_at_every_size(spark, monkeypatch):
+    rows = {}
+
+    class Enough(Exception):
+        pass
+
+    def design(stream, n, alphabet, classes, window, start, stride=7, slots=None, heads=()):
+        rows[n] = -(-(n // 2 - max(start, window)) // stride)
+        raise Enough
+
+    monkeypatch.setattr(cells, "stream_design", design)
+    sizes = [1_500, 4_900, 4_999, 5_000, 20_000]
+    for samples in sizes:
+        with pytest.raises(Enough):
+            modes.run_cell(spark, K=4, n_cand=8, samples=samples, W=6, light=True)
+    assert [n / s for n, s in zip(rows, sizes)] == [14] * len(sizes)
+    assert all(abs(r - s) <= 2 for r, s in zip(rows.values(), sizes))
