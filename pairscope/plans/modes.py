@@ -102,7 +102,7 @@ def vs_gbdt(spark: SparkSession, **options) -> DataFrame:
     return vs_all(spark, with_fm=False, **options)
 
 
-BOOST_DDL = "M int, K int, arm string, round int, chosen string, hits int, bits double, bar double, additive_bits double, oracle_bits double"
+BOOST_DDL = "M int, K int, arm string, round int, chosen string, hits int, bits double, bar double, additive_bits double, oracle_bits double, all_cross_bits double, all_cross_note string, gbt_bits double, fm_bits double"
 
 
 def components_design(spark: SparkSession, M: int, K: int, samples: int, W: int, pairs: list, seed: int, comps: int = 2) -> tuple[Design, list]:
@@ -138,15 +138,21 @@ def greedy(d: Design, rounds: int, y: str = "y", classes: int | None = None) ->
     return out
 
 
-def boosting(spark: SparkSession, M: int = 2, K: int = 8, samples: int = 20_000, W: int = 6, extra: int = 1, disjoint: bool = False, seed: int = 0, rounds: int | None = None) -> DataFrame:
-    """M interactions packed in one target of 2^M classes: greedy rounds with hits, the floor, additive and oracle."""
+def boosting(spark: SparkSession, M: int = 2, K: int = 8, samples: int = 20_000, W: int = 6, extra: int = 1, disjoint: bool = False, seed: int = 0, rounds: int | None = None, with_opponents: bool = True, opponent_rounds: int = 60, epochs: int = 300) -> DataFrame:
+    """M interactions packed in one target of 2^M classes: greedy rounds with hits, the floor, additive and oracle.
+
+    Every row also holds the task's all-crosses block (null with a note where it is too wide) and both opponents."""
     d, truth = components_design(spark, M, K, samples, W, DISJOINT_PAIRS if disjoint else SHARED_PAIRS, seed)
     additive = numbers(readout.score(d.test, cells.fit_additive(d)))["bits"]
     oracle = cells.exact_block(d, [(f"x{a}", f"x{b}") for a, b in truth])["bits"]
+    crosses = cells.exact_block(d, all_pairs(d.slots))
+    fixed = {"all_cross_bits": crosses["bits"], "all_cross_note": crosses["note"]}
+    if with_opponents:
+        fixed |= {"gbt_bits": opponent(d, "gbt", rounds=opponent_rounds)["bits"], "fm_bits": opponent(d, "fm", rounds=epochs)["bits"]}
     rows, found = [], set()
     for r in greedy(d, rounds or M + extra):
         found.add(tuple(sorted(int(d.slots[x][1:]) for x in r["chosen"])))
-        rows.append({"M": M, "K": K, "arm": "boosting", "round": r["round"], "chosen": str(sorted(found)), "hits": len(found & set(truth)), "bits": r["bits"], "bar": float(M), "additive_bits": additive, "oracle_bits": oracle})
+        rows.append({"M": M, "K": K, "arm": "boosting", "round": r["round"], "chosen": str(sorted(found)), "hits": len(found & set(truth)), "bits": r["bits"], "bar": float(M), "additive_bits": additive, "oracle_bits": oracle} | fixed)
     return rows_frame(spark, rows, BOOST_DDL)
 
 
@@ -198,8 +204,8 @@ def alsmulti(spark: SparkSession, **options) -> DataFrame:
     return multi(spark, lowrank_heads=True, **options)
 
 
-def speed(spark: SparkSession, K: int = 16, samples: int = 20_000, W: int = 6) -> DataFrame:
-    """Wall seconds of the hot paths on one design."""
+def speed(spark: SparkSession, K: int = 16, samples: int = 20_000, W: int = 6, opponent_rounds: int = 60, epochs: int = 100) -> DataFrame:
+    """Wall seconds of the hot paths and of both opponents on one design."""
     n = 4 * samples
     d = cells.stream_design(generators.single_interaction(spark, n, K, 4, 0), n, K, K, W, W)
     base = cells.fit_additive(d)
@@ -210,6 +216,8 @@ def speed(spark: SparkSession, K: int = 16, samples: int = 20_000, W: int = 6) -
             timed("criterion, all pairs", lambda: (cells.residual_scores(d, base, d.slots).count(), {"bits": None, "acc": None})[1]),
             timed("exact block", lambda: cells.exact_block(d, [("x0", "x4")])),
             timed("low-rank block", lambda: cells.lowrank_block(d, [("x0", "x4")])[0]),
+            timed("boosted trees", lambda: opponent(d, "gbt", rounds=opponent_rounds)),
+            timed("factorisation machine", lambda: opponent(d, "fm", rounds=epochs)),
         ],
         ARM_DDL,
     )
@@ -236,7 +244,7 @@ POOL_DDL = "N int, W int, rank int, pick_i int, pick_j int, score double, thresh
 
 
 def pool_mode(spark: SparkSession, N: int = 45, K: int = 8, samples: int = 20_000, a: int = 1, b: int = 4, draws: int = 20, dim: int = 8, seed: int = 0) -> DataFrame:
-    """Rank of the true pair in a pool of N lag pairs, the null of the best of N, and what the pick is worth."""
+    """Rank of the true pair in a pool of N lag pairs, the null of the best of N (each with its own shuffle), and what the pick is worth."""
     window, pairs = pool(N)
     n = 4 * samples
     stream = generators.components_stream(spark, n, K, [(a, b)], 2, seed)
@@ -245,9 +253,7 @@ def pool_mode(spark: SparkSession, N: int = 45, K: int = 8, samples: int = 20_00
     errs = materialized(readout.residuals(d.train, base), "errs")
     names = [f"e{c}" for c in range(2)]
     scores = materialized(criterion.pair_scores(errs, d.slots, names, False, pairs=pairs), "scores")
-    # two classes: the residuals mirror each other, one of them is permuted
-    moved = nulls.permuted(errs, "t", "e0", draws, seed).withColumn("e1", -F.col("e0"))
-    threshold = nulls.null_threshold(criterion.pair_scores(moved, d.slots, names, False, keys=["draw"], pairs=pairs)).first()["threshold"]
+    threshold = nulls.null_threshold(nulls.own_shuffle_null(errs, "t", d.slots, pairs, names, draws, seed)).first()["threshold"]
     i, j = cells.top(scores)
     best = scores.where((F.col("i") == i) & (F.col("j") == j)).first()["score"]
     got, _ = cells.lowrank_block(d, [(d.slots[i], d.slots[j])], dim=dim)
@@ -326,7 +332,10 @@ def natural(spark: SparkSession, symbols: DataFrame, n: int, K: int, window: int
     return rows_frame(spark, [row], NATURAL_DDL)
 
 
-FIELDS_DDL = "F int, K int, n int, note string, label_entropy double, rank int, additive_bits double, pick_bits double, lowrank_bits double, gbt_bits double, fm_bits double"
+FIELDS_DDL = "F int, K int, n int, note string, label_entropy double, rank int, additive_bits double, pick_bits double, lowrank_bits double, gbt_bits double, fm_bits double, pick_i int, pick_j int, n_cand int, rank_pick_bits int, rank_true_bits int, truth_bits double, frac_beaten double, table_exact double, table_weighted double"
+
+#: Up to this many pairs fields fits every one of them; above, the pick is held against random pairs.
+MOST_FIELD_PAIRS = 200
 
 
 def record_design(spark: SparkSession, words: DataFrame, fields: int, K: int, limit: int, seed: int) -> tuple[Design, DataFrame]:
@@ -336,8 +345,28 @@ def record_design(spark: SparkSession, words: DataFrame, fields: int, K: int, li
     return Design(rows.where(F.col("rec") < cut), rows.where(F.col("rec") >= cut), F.col("rec"), cut, [f"f{k}" for k in range(fields)], K, 2), rows
 
 
-def fields_mode(spark: SparkSession, words: DataFrame, fields: int = 7, K: int = 16, limit: int = 20_000, seed: int = 0, with_opponents: bool = True, rounds: int = 10) -> DataFrame:
-    """A parity of two fields of word-block records: gates, rank of the true pair, blocks and opponents."""
+def against_pairs(d: Design, pick: tuple[int, int], bits: float, n_rand: int, seed: int) -> dict:
+    """The pick's and the true (first, last) pair's ranks by bits over all pairs, or the share of random pairs it beats."""
+    everything, truth = all_pairs(list(range(len(d.slots)))), (0, len(d.slots) - 1)
+
+    def held(p: tuple[int, int]) -> float:
+        return bits if p == pick else cells.lowrank_block(d, [(d.slots[p[0]], d.slots[p[1]])])[0]["bits"]
+
+    if len(everything) <= MOST_FIELD_PAIRS:
+        every = {p: held(p) for p in everything}
+        order = sorted(everything, key=lambda p: (every[p], p))
+        return {"n_cand": len(everything), "rank_pick_bits": order.index(pick) + 1, "rank_true_bits": order.index(truth) + 1, "truth_bits": every[truth]}
+    spark = d.train.sparkSession
+    others = spark.createDataFrame([p for p in everything if p != pick], "i int, j int")
+    drawn = spark.createDataFrame([(held((r["i"], r["j"])),) for r in sample(others, n_rand, seed).collect()], "bits double")
+    return {"n_cand": len(everything), "frac_beaten": frac_beaten(drawn, bits).first()["frac_beaten"]}
+
+
+def fields_mode(spark: SparkSession, words: DataFrame, fields: int = 7, K: int = 16, limit: int = 20_000, seed: int = 0, with_opponents: bool = True, rounds: int = 10, n_rand: int = 20) -> DataFrame:
+    """A parity of two fields of word-block records: gates, rank of the true pair, blocks and opponents.
+
+    Up to MOST_FIELD_PAIRS pairs, the pick and the true pair are ranked by low-rank bits over all pairs; above, frac_beaten
+    is over n_rand random pairs.  The emitted table is scored where the pick is the true pair."""
     d, rows = record_design(spark, words, fields, K, limit, seed)
     row: dict = {"F": fields, "K": K, "n": rows.count(), "label_entropy": entropy(rows, "y").first()["entropy"] or 0.0}
     poor = encode.degenerate_fields(rows, d.slots).where("degenerate").count()
@@ -350,20 +379,32 @@ def fields_mode(spark: SparkSession, words: DataFrame, fields: int = 7, K: int =
         scores = materialized(cells.residual_scores(d, base, d.slots, weighted=True), "scores")
         i, j = cells.top(scores)
         pair = [(d.slots[i], d.slots[j])]
-        row |= {"rank": cells.rank_of(scores, 0, fields - 1), "additive_bits": numbers(readout.score(d.test, base))["bits"], "pick_bits": cells.exact_block(d, pair)["bits"], "lowrank_bits": cells.lowrank_block(d, pair)[0]["bits"]}
+        row |= {"rank": cells.rank_of(scores, 0, fields - 1), "additive_bits": numbers(readout.score(d.test, base))["bits"], "pick_bits": cells.exact_block(d, pair)["bits"], "pick_i": i, "pick_j": j}
+        picked, factors = cells.lowrank_block(d, pair)
+        row |= {"lowrank_bits": picked["bits"]} | against_pairs(d, (i, j), picked["bits"], n_rand, seed)
+        if (i, j) == (0, fields - 1):
+            counts = d.train.groupBy(F.col(d.slots[i]).alias("a"), F.col(d.slots[j]).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+            emitted = lowrank.emit_table(spark, factors, centred=True).join(counts, ["a", "b"], "left").fillna(0, ["n"])
+            right = numbers(table_accuracy(emitted.withColumn("truth", (F.col("a") + F.col("b")) % 2)))
+            row |= {"table_exact": right["exact"], "table_weighted": right["weighted"]}
         if with_opponents:
             row |= {"gbt_bits": opponent(d, "gbt", rounds=rounds)["bits"], "fm_bits": opponent(d, "fm", rounds=5 * rounds)["bits"]}
     return rows_frame(spark, [row], FIELDS_DDL)
 
 
-TUNE_DDL = "kind string, depth int, rounds int, rate double, dim int, bits double, acc double, seconds double"
+TUNE_DDL = "kind string, depth int, rounds int, rate double, dim int, bits double, acc double, seconds double, pick_i int, pick_j int"
 
 
 def tune(spark: SparkSession, words: DataFrame, fields: int = 7, K: int = 16, limit: int = 5_000, seed: int = 0, grid: list[dict] | None = None) -> DataFrame:
-    """Budget curves of the opponents on the records task."""
+    """The additive fit, the criterion's pick with its low-rank block, and budget curves of the opponents on the records task."""
     d, _ = record_design(spark, words, fields, K, limit, seed)
     grid = grid or [{"kind": "gbt", "depth": 2, "rounds": r, "rate": 0.3} for r in (5, 10)] + [{"kind": "fm", "dim": 4, "rounds": 50, "rate": 0.05}]
-    rows = []
+    began = time.time()
+    base = cells.fit_additive(d)
+    rows = [{"kind": "additive"} | numbers(readout.score(d.test, base)) | {"seconds": time.time() - began}]
+    i, j = cells.top(cells.residual_scores(d, base, d.slots, weighted=True))
+    got = cells.lowrank_block(d, [(d.slots[i], d.slots[j])], dim=8)[0]
+    rows.append({"kind": "ours", "dim": 8, "bits": got["bits"], "acc": got["acc"], "seconds": time.time() - began, "pick_i": i, "pick_j": j})
     for g in grid:
         got = timed(g["kind"], lambda: opponent(d, **g))  # noqa: B023
         rows.append(g | {"bits": got["bits"], "acc": got["acc"], "seconds": got["seconds"]})

@@ -542,8 +542,8 @@ SMALL = {"K": 5, "samples": 3000}
 for _name, _mode in {
     "mode_demo": lambda s: modes.demo(s, **SMALL, n_cand=8, W=6, k=4, draws=5), "mode_envelope": lambda s: modes.envelope(s, (5,), (8,), (3000,), (0, 1), W=6),
     "mode_vs_gbdt": lambda s: modes.vs_gbdt(s, K=3, samples=2000, W=5, rounds=2), "mode_vs_all": lambda s: modes.vs_all(s, K=3, samples=2000, W=5, rounds=2),
-    "mode_boosting": lambda s: modes.boosting(s, M=2, K=4, samples=3000, W=5), "mode_boosting2": lambda s: modes.boosting2(s, (1,), K=4, samples=3000, W=5),
-    "mode_multi": lambda s: modes.multi(s, M=2, K=4, samples=3000, W=5), "mode_speed": lambda s: modes.speed(s, K=6, samples=3000),
+    "mode_boosting": lambda s: modes.boosting(s, M=2, K=4, samples=3000, W=5, opponent_rounds=10, epochs=100), "mode_boosting2": lambda s: modes.boosting2(s, (1,), K=4, samples=3000, W=5, opponent_rounds=10, epochs=100),
+    "mode_multi": lambda s: modes.multi(s, M=2, K=4, samples=3000, W=5), "mode_speed": lambda s: modes.speed(s, K=6, samples=3000, opponent_rounds=10),
     "mode_als": lambda s: modes.als(s, K=5, samples=3000), "mode_alsmulti": lambda s: modes.alsmulti(s, M=2, K=4, samples=3000, W=5),
     "mode_pool": lambda s: modes.pool_mode(s, N=15, K=4, samples=3000, draws=5), "mode_emit": lambda s: modes.emit(s, K=6, samples=3000),
 }.items():

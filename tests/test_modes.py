@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pairscope.plans import cells, modes
+from pairscope.operators import nulls
+from pairscope.plans import cells, modes, registry
 from pairscope.sources import generators
 
 
@@ -59,3 +60,52 @@ def test_training_rows_follow_samples_at_every_size(spark, monkeypatch):
             modes.run_cell(spark, K=4, n_cand=8, samples=samples, W=6, light=True)
     assert [n / s for n, s in zip(rows, sizes)] == [14] * len(sizes)
     assert all(abs(r - s) <= 2 for r, s in zip(rows.values(), sizes))
+
+
+@pytest.fixture
+def quick_opponents(monkeypatch):
+    asked = []
+
+    def opponent(d, kind, **options):
+        asked.append(kind)
+        return {"bits": 0.5, "acc": 0.5}
+
+    monkeypatch.setattr(modes, "opponent", opponent)
+    return asked
+
+
+def test_tune_and_gbm_compare_with_the_own_pick(spark, data, quick_opponents):
+    got = {r["kind"]: r for r in modes.gbm(spark, registry.document_words(spark, data), fields=4, K=8, limit=2_000).collect()}
+    assert set(got) == {"additive", "ours", "gbt"}
+    assert (got["ours"]["pick_i"], got["ours"]["pick_j"]) == (0, 3)
+    assert got["ours"]["bits"] < got["additive"]["bits"]
+
+
+@pytest.mark.parametrize("most", [200, 2])
+def test_fields_ranks_by_bits_and_scores_its_table(spark, data, monkeypatch, quick_opponents, most):
+    monkeypatch.setattr(modes, "MOST_FIELD_PAIRS", most)
+    row = modes.fields_mode(spark, registry.document_words(spark, data), 4, 8, 2_000, n_rand=2).first()
+    assert row["n_cand"] == 6 and row["table_weighted"] > 0.9 and 0 <= row["table_exact"] <= 1
+    assert (row["rank_pick_bits"], row["rank_true_bits"]) == ((1, 1) if most == 200 else (None, None))
+    assert row["frac_beaten"] == (None if most == 200 else 1.0)
+
+
+def test_boosting_and_speed_have_every_arm(spark, quick_opponents):
+    row = modes.boosting(spark, M=1, K=4, samples=600, W=4, extra=0).first()
+    assert row["all_cross_bits"] < row["additive_bits"] and row["gbt_bits"] == row["fm_bits"] == 0.5
+    arms = [r["arm"] for r in modes.speed(spark, K=4, samples=600).collect()]
+    assert arms[-2:] == ["boosted trees", "factorisation machine"]
+    assert quick_opponents == ["gbt", "fm", "gbt", "fm"]
+
+
+def test_pool_gives_every_candidate_its_own_shuffle(spark, monkeypatch):
+    kept, own = [], nulls.own_shuffle_null
+
+    def kept_null(*args, **options):
+        kept.append(own(*args, **options).cache())
+        return kept[-1]
+
+    monkeypatch.setattr(nulls, "own_shuffle_null", kept_null)
+    row = modes.pool_mode(spark, N=3, K=4, samples=600, a=0, b=2, draws=2).first()
+    assert kept[0].count() == 2 * 3
+    assert row["threshold"] == pytest.approx(nulls.null_threshold(kept[0]).first()["threshold"])
