@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..sources.tables import materialized
+from ..sources.shared import stored
 
 
 def global_rank(df: DataFrame, order: list[Column | str], out: str = "rank") -> DataFrame:
@@ -17,7 +17,7 @@ def global_rank(df: DataFrame, order: list[Column | str], out: str = "rank") ->
     keyed = df.select("*", *[(c if isinstance(c, Column) else F.col(c)).alias(f"__k{i}") for i, c in enumerate(order)])
     keys = [f"__k{i}" for i in range(len(order))]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialized(keyed.repartitionByRange(n, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    placed = stored(keyed.repartitionByRange(n, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
     sizes, before, offsets = sorted((r["__range"], r["count"]) for r in placed.groupBy("__range").count().collect()), 0, []
     for k, size in sizes:
         offsets.append((k, before))

@@ -11,7 +11,7 @@ from ..operators import criterion, lowrank, readout
 from ..operators.candidates import all_pairs, pick, ranked
 from ..operators.lags import with_lags
 from ..operators.split import strided
-from ..sources.tables import materialized
+from ..sources.shared import stored
 
 
 @dataclass
@@ -38,7 +38,7 @@ def stream_design(stream: DataFrame, n: int, alphabet: int, classes: int, window
     t, half = F.col("t"), n // 2
     first = max(start, window)
     keep = lagged.where(strided(t, first, stride) & F.col("y").isNotNull())
-    rows = materialized(keep.select("t", *[f"x{j}" for j in reach], "y", *heads), "design")
+    rows = stored(keep.select("t", *[f"x{j}" for j in reach], "y", *heads), "design")
     ordinal = F.floor((t - first) / stride)
     count = max(0, -(-(half - first) // stride))
     names = [f"x{j}" for j in (slots if slots is not None else reach)]

@@ -15,7 +15,7 @@ from ..operators.candidates import all_pairs, frac_beaten, pool, sample
 from ..operators.lags import with_lags
 from ..operators.split import strided
 from ..sources import generators, tokens
-from ..sources.tables import materialized
+from ..sources.shared import stored
 from . import cells
 from .cells import Design, numbers, rows_frame
 
@@ -38,7 +38,7 @@ def run_cell(spark: SparkSession, K: int = 8, n_cand: int = 20, samples: int = 2
     base = cells.fit_additive(d)
     held = numbers(readout.score(d.test, base))
     began = time.time()
-    scores = materialized(cells.lag_residual_scores(d, base, list(range(1, n_cand + 1))), "scores")
+    scores = stored(cells.lag_residual_scores(d, base, list(range(1, n_cand + 1))), "scores")
     seconds = time.time() - began
     _, best = cells.top(scores)
     row = {"K": K, "n_cand": n_cand, "samples": samples, "seed": seed, "W": W, "true_lag": k, "bar": math.log2(K), "base_bits": held["bits"], "base_acc": held["acc"], "rank": cells.rank_of(scores, 0, k), "pick": best, "ntr": d.n, "score_seconds": seconds}
@@ -250,9 +250,9 @@ def pool_mode(spark: SparkSession, N: int = 45, K: int = 8, samples: int = 20_00
     stream = generators.components_stream(spark, n, K, [(a, b)], 2, seed)
     d = cells.stream_design(stream, n, K, 2, window, window)
     base = cells.fit_additive(d)
-    errs = materialized(readout.residuals(d.train, base), "errs")
+    errs = stored(readout.residuals(d.train, base), "errs")
     names = [f"e{c}" for c in range(2)]
-    scores = materialized(criterion.pair_scores(errs, d.slots, names, False, pairs=pairs), "scores")
+    scores = stored(criterion.pair_scores(errs, d.slots, names, False, pairs=pairs), "scores")
     threshold = nulls.null_threshold(nulls.own_shuffle_null(errs, "t", d.slots, pairs, names, draws, seed)).first()["threshold"]
     i, j = cells.top(scores)
     best = scores.where((F.col("i") == i) & (F.col("j") == j)).first()["score"]
@@ -289,7 +289,7 @@ def real(spark: SparkSession, symbols: DataFrame, n: int, K: int, a: int = 1, b:
         rows = generators.rare_signal(rows, f"x{a}", rare, 2, seed, K)
     else:
         rows = rows.withColumn("informative", F.lit(True))
-    rows = materialized(rows, "real")
+    rows = stored(rows, "real")
     count = max(0, -(-(n - window - 1) // stride))
     d = Design(rows, rows, F.floor((F.col("t") - window - 1) / stride), count, [f"x{j}" for j in range(1, window + 1)], K, 2)
     base = cells.fit_additive(d)
@@ -313,7 +313,7 @@ def natural(spark: SparkSession, symbols: DataFrame, n: int, K: int, window: int
     rank_by_bits is the pick's place among all pairs, each of them fitted, and null above MOST_RANKED pairs; random_mean
     and frac_beaten are over a hash sample of n_rand other pairs."""
     lagged = with_lags(symbols, list(range(window + 1))).withColumn("y", F.col("x0"))
-    rows = materialized(lagged.where(strided(F.col("t"), window + 1, stride)), "natural")
+    rows = stored(lagged.where(strided(F.col("t"), window + 1, stride)), "natural")
     count = max(0, -(-(n - window - 1) // stride))
     ordinal = F.floor((F.col("t") - window - 1) / stride)
     cut = int(count * 0.7)
@@ -339,7 +339,7 @@ MOST_FIELD_PAIRS = 200
 
 
 def record_design(spark: SparkSession, words: DataFrame, fields: int, K: int, limit: int, seed: int) -> tuple[Design, DataFrame]:
-    rows = materialized(tokens.records(words, fields, limit, seed, K), "records")
+    rows = stored(tokens.records(words, fields, limit, seed, K), "records")
     n = rows.count()
     cut = int(n * 0.7)
     return Design(rows.where(F.col("rec") < cut), rows.where(F.col("rec") >= cut), F.col("rec"), cut, [f"f{k}" for k in range(fields)], K, 2), rows
@@ -376,7 +376,7 @@ def fields_mode(spark: SparkSession, words: DataFrame, fields: int = 7, K: int =
         row["note"] = f"DEGENERATE: {poor} fields with fewer than 3 values"
     else:
         base = cells.fit_additive(d)
-        scores = materialized(cells.residual_scores(d, base, d.slots, weighted=True), "scores")
+        scores = stored(cells.residual_scores(d, base, d.slots, weighted=True), "scores")
         i, j = cells.top(scores)
         pair = [(d.slots[i], d.slots[j])]
         row |= {"rank": cells.rank_of(scores, 0, fields - 1), "additive_bits": numbers(readout.score(d.test, base))["bits"], "pick_bits": cells.exact_block(d, pair)["bits"], "pick_i": i, "pick_j": j}

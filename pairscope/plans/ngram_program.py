@@ -11,7 +11,7 @@ from ..functions import metrics
 from ..operators import ngram, verdict
 from ..operators.split import block_bounds, eval_positions
 from ..sources import generators, tokens
-from ..sources.tables import materialized
+from ..sources.shared import stored
 from .cells import rows_frame
 
 STEPS, TRAIN_BLOCKS, BLOCKS = 24, 7, 8
@@ -36,17 +36,17 @@ def symbols(texts: DataFrame, id_col: str, text_col: str, gran: str) -> DataFram
         return tokens.dense_positions(tokens.byte_tokens(texts, id_col, text_col)).select("t", "raw")
     if gran != "word":
         raise ValueError(f"unknown granularity {gran}")
-    words = materialized(tokens.dense_positions(tokens.word_tokens(texts, id_col, text_col)).select("t", "word"), "words")
+    words = stored(tokens.dense_positions(tokens.word_tokens(texts, id_col, text_col)).select("t", "word"), "words")
     return words.join(tokens.first_seen_ids(words), "word").select("t", "raw")
 
 
 def prepare(raw: DataFrame, gran: str, k: int) -> Prepared:
-    raw = materialized(raw, "raw")
+    raw = stored(raw, "raw")
     n = raw.count()
     end = block_bounds(n, BLOCKS)[TRAIN_BLOCKS][0]
     vocab = tokens.vocabulary(raw, "raw", k, F.col("t") < end)
     coded = tokens.apply_vocabulary(raw, vocab, "raw").select("t", F.col("tok").cast("int").alias("x"))
-    return Prepared(gran, k, materialized(coded, "coded"), n, end)
+    return Prepared(gran, k, stored(coded, "coded"), n, end)
 
 
 def statistics(p: Prepared) -> DataFrame:
@@ -65,7 +65,7 @@ def family(p: Prepared, lag: int, orders: int, stream: DataFrame | None = None)
     alphas = {r["order"]: r["alpha"] for r in ngram.alpha_choice(ngram.alpha_bits(stream, p.k, orders, lag, p.train_end)).collect()}
     alphas = {n: alphas.get(n, ngram.ALPHAS[0]) for n in range(1, orders + 1)}
     test = eval_positions(F.col("t"), p.train_end, p.n, lag, max(orders - 1, 1), STEPS)
-    card = materialized(ngram.evaluate(stream, p.k, orders, lag, (0, p.train_end), test, alphas), "cards")
+    card = stored(ngram.evaluate(stream, p.k, orders, lag, (0, p.train_end), test, alphas), "cards")
     # the alpha of order n smooths every level of order n's model, so each order is scored with its own
     rows = []
     for order in range(1, orders + 1):
@@ -93,7 +93,7 @@ def run(spark: SparkSession, texts: DataFrame, id_col: str, text_col: str, grans
 
 def leak_control(p: Prepared, lag: int, orders: int, seed: int = 0) -> DataFrame:
     """(margin, passes) on the shuffled stream."""
-    mixed = materialized(generators.shuffled(p.stream, seed), "shuffled")
+    mixed = stored(generators.shuffled(p.stream, seed), "shuffled")
     return verdict.leak_control(family(p, lag, orders, mixed))
 
 

@@ -1,10 +1,7 @@
-"""Table sources: parquet folders, CSV files, the field rule, pinned binary corpora, and tables kept in shared storage."""
+"""Table sources: parquet folders, CSV files, the field rule, pinned binary corpora."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,24 +39,3 @@ def pinned_corpus(spark: SparkSession, path: str, size: int, sha256: str) -> Dat
     raw = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size).alias("content"))
     found = F.sha2("content", 256)
     return raw.select(F.when(found == sha256, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("corpus changed: sha256 "), found)).cast("binary")).alias("content"))
-
-
-_fallback: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as on one machine."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="pairscope-")
-    return _fallback[app]
-
-
-def materialized(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back; ends the lineage."""
-    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .tables import materialized
+from .shared import stored
 
 #: Fixed value: runs of letters, runs of digits, single other characters.
 WORD = r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]"
@@ -63,10 +63,10 @@ def records(tokens: DataFrame, fields: int, limit: int, seed: int, size: int, t_
     full = blocks.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == width).select((F.col("b") / width).cast("long").alias("block"), "b")
     chosen = full.orderBy(digest(seed, "record", F.col("block")), "block").limit(limit)
     ranked = chosen.select("b", (F.row_number().over(Window.orderBy(digest(seed, "record", F.col("block")), "block")) - 1).alias("rec"))
-    ranked = materialized(ranked, "blocks")
+    ranked = stored(ranked, "blocks")
     total = ranked.count()
     # at most `limit` blocks are broadcast; their symbols are stored, the stream is read twice in all
-    held = materialized(blocks.where((F.col("p") < fields - 1) | (F.col("p") == fields + 1)).join(F.broadcast(ranked), "b"), "held")
+    held = stored(blocks.where((F.col("p") < fields - 1) | (F.col("p") == fields + 1)).join(F.broadcast(ranked), "b"), "held")
     vocab = vocabulary(held, "raw", size, F.col("rec") < int(total * train_share))
     coded = apply_vocabulary(held, vocab, "raw")
     wide = coded.groupBy("rec").agg(*[F.max(F.when(F.col("p") == (k if k < fields - 1 else fields + 1), F.col("tok"))).alias(f"f{k}") for k in range(fields)])
