@@ -1,65 +1,18 @@
-"""Shared helpers: tables written to the folder all executors see, byte-level word rules."""
+"""Shared helpers: tables in the shared folder, Arrow batch sizes, column names that do not clash, byte-level word rules."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, scratch, shared_root, stored
+
+__all__ = ["BLANKS", "UPPER", "ascii_lower", "discard", "fresh_names", "scratch", "shared_root", "small_batches", "stored"]
+
 #: The six ASCII blanks that separate words and are stripped from lines.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_fallback: dict[str, str] = {}
-_open_scratches: list[list] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh temporary one only where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="pairscope-")
-    return _fallback[app]
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df under the shared folder and read it back: lineage ends in files that survive lost executors."""
-    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    if _open_scratches:
-        _open_scratches[-1].append(out)
-    return out
-
-
-@contextmanager
-def scratch():
-    """Tables stored inside are removed at the end, but for those handed to the yielded function."""
-    held: list = []
-    kept: list = []
-    _open_scratches.append(held)
-    try:
-        yield kept.append
-    finally:
-        _open_scratches.remove(held)
-        for df in held:
-            if not any(df is k for k in kept):
-                discard(df)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove the files behind a frame made by stored()."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
     """Bound the Arrow batches between the JVM and Python workers, whose memory stands beside the executor's heap."""
@@ -72,6 +25,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def hash128(c: Column) -> Column:
-    """Two differently seeded 64-bit hashes as a struct."""
-    return F.struct(F.xxhash64(F.lit(1), c).alias("a"), F.xxhash64(F.lit(2), c).alias("b"))
+def fresh_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column of `taken` has it (case ignored, as Spark does)."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out

@@ -2,9 +2,14 @@
 
 Items are partitioned by the size of their shingle set (powers of two).  For every size class in use, a document's
 shingles are cut into stretches of that size and each stretch gets a one-permutation MinHash sketch (one minimum for
-each of BINS bins), so that a short item meets stretches of its own size however long the document is.  A stretch that
-shares a bin minimum with an item makes a candidate; candidates are verified by the exact share of the item's shingles
-that the whole document holds.
+each of 2**BIN_BITS bins), so that a short item meets stretches of its own size however long the document is.  A stretch
+that shares a bin minimum with an item makes a candidate; candidates are verified by the exact share of the item's
+shingles that the whole document holds.
+
+Items of up to WHOLE shingles form the class of stretches of one: every shingle is its own minimum, so an item is a candidate
+wherever one of its shingles stands and none is lost.  From there on an item that stands together is lost with a
+probability that falls with its size (under 1e-7 from nine shingles on); the shingles of a long item that are scattered
+one by one over a long document may be missed.
 
 Documents are never shuffled.  The benchmark travels to the tasks in blocks of bounded size; a benchmark over one block
 takes one pass over the documents per block, each block's result being stored before the next is read.
@@ -23,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import discard, small_batches, stored
 from .words import WordHashes, shingles
 
 BIN_BITS = 6
+#: Items of so many shingles or fewer are looked up by every shingle.
+WHOLE = 8
 #: Bounds of a benchmark block: items, and shingles in all of them (8 bytes each, twice).
 BLOCK_ITEMS, BLOCK_SHINGLES = 50_000, 2_000_000
 KEEP_BITS = np.uint64(18)
@@ -40,7 +47,9 @@ PAIRS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("shared", p
 def bin_minima(values: np.ndarray, size: int) -> np.ndarray:
     """Smallest values of each bin of each stretch of `size` shingles, cut to 46 bits (bin first), sorted and distinct.
 
-    The bin is the top of a value, so a minimum needs no bin beside it."""
+    The bin is the top of a value, so a minimum needs no bin beside it; in stretches of one all values are minima."""
+    if size == 1:
+        return np.unique(values >> KEEP_BITS)
     found = []
     step = size << 16
     for at in range(0, len(values), step):
@@ -63,7 +72,8 @@ class Index:
         classes: dict[int, list[tuple[np.ndarray, int]]] = {}
         for k, (_, s) in enumerate(items):
             if len(s):
-                classes.setdefault(max(8, 1 << (len(s) - 1).bit_length()), []).append((bin_minima(s, len(s)), k))
+                size = 1 if len(s) <= WHOLE else 1 << (len(s) - 1).bit_length()
+                classes.setdefault(size, []).append((bin_minima(s, 1 if size == 1 else len(s)), k))
         self.classes = []
         for size, owned in sorted(classes.items()):
             values = np.concatenate([v for v, _ in owned])
@@ -121,9 +131,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: i
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     spark = docs.sparkSession
 
-    def one_pass(index: Index) -> DataFrame:
-        held = spark.sparkContext.broadcast(index)
-
+    def one_pass(held) -> DataFrame:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, index = WordHashes(), held.value
             for batch in batches:
@@ -141,7 +149,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: i
         if previous is not None:
             done = stored(one_pass(previous), "contaminated")
             out = done if out is None else out.unionByName(done)
-        previous = index
+            previous.destroy()
+        previous = spark.sparkContext.broadcast(index)
     if previous is None:
         return spark.createDataFrame([], PAIRS_DDL)
     last = one_pass(previous)
@@ -149,14 +158,20 @@ def find_items(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: i
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, words: int = 5, percent: int = 80, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the documents that hold an item; rows are filtered where they are read, all columns pass through."""
+    """docs without the documents that hold an item; rows are filtered where they are read, all columns pass through.
+
+    Null and empty texts hold nothing and stay; rows that repeat an id or a text are judged each; no column name is used
+    but text_col's; an empty benchmark or table drops nothing."""
     spark, schema = docs.sparkSession, docs.schema
     column = docs.columns.index(text_col)
-    out, many = docs, False
+    out, held, before = docs, None, None
     for index in blocks(benchmark, item_id, item_text, words):
-        if many:
-            out = stored(out, "clean")
-        many = True
+        if held is not None:
+            out, old = stored(out, "clean"), before
+            held.destroy()
+            if old is not None:
+                discard(old)
+            before = out
         held = spark.sparkContext.broadcast(index)
 
         def task(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
