@@ -9,9 +9,13 @@ most links; whatever is still apart is compared by an exact prefix join on the s
 components that shares a key is skipped, so no cap exists.  Candidates pass a size bound (exact) and a 2-bit sketch
 bound, and links are confirmed on full shingle sets.
 
-Defined cases: null and empty texts have an empty set, no links, and stay; a null id takes no part in links and is kept;
-rows that repeat an id count once for links; an empty table gives an empty table; extra columns are passed through, those
-named n_shingles, component_id or kept are replaced.
+Keys of large groups are tables of their own before their members are joined, so that a key of a third of all rows is dealt
+to many tasks.
+
+Defined cases: null and empty texts have an empty set, no links, and stay; a null id takes no part in links and is kept; an
+id is one document: where rows repeat an id with different texts, all of its texts are in one component and a link of any
+of them is a link of the id, whatever the order of the rows; an empty table gives an empty table; drop_near_duplicates
+passes all columns through under any name and drops every row of an id that goes.
 """
 
 from __future__ import annotations
@@ -92,8 +96,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, m: int = M
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(task, SKETCH_DDL)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, set, parity): the full shingle sets of the given ids, and for each the parities of its shingles in 512 cells.
+def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int, repeated: bool = True) -> DataFrame:
+    """(id, set, parity): the distinct full shingle sets of the given ids, and for each the parities of its shingles in 512 cells.
 
     Every shingle that only one of two sets holds flips one cell, so sets differ by as many shingles as their parities
     differ in cells, at least."""
@@ -108,7 +112,8 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words:
             cells = [np.packbits(np.bincount((s >> np.uint64(40)).astype(np.int64) % 512, minlength=512).astype(np.uint8) & 1).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], cells))], names=["id", "set", "parity"])
 
-    return chosen.mapInArrow(task, "id long, set array<long>, parity array<long>")
+    found = chosen.mapInArrow(task, "id long, set array<long>, parity array<long>")
+    return found.dropDuplicates(["id", "set"]) if repeated else found
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,15 +132,19 @@ def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int, similar) -> D
     for all sets.  The order here puts shingles of a single component first: they find nothing, so a text with that
     many shingles of its own is out, and all others look up only what is left of their prefix.  Rows grow with the texts,
     not with the pairs of a group of edited copies."""
-    each = placed.join(sets, "id").select("id", "n", "bits", "part", F.explode("set").alias("shingle"))
+    # `which` tells the sets of an id apart where rows repeat it
+    sets = sets.select("id", F.xxhash64("set").alias("which"), "set", "parity")
+    each = placed.join(sets, "id").where(F.size("set") == F.col("n")).select("id", "which", "n", "bits", "part", F.explode("set").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle", "df")
-    held = each.join(common, "shingle").groupBy("id", "n", "bits", "part").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
+    common = stored(common, "common-shingles")
+    held = each.join(common, "shingle").groupBy("id", "which", "n", "bits", "part").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("held"))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     own = F.col("n") - F.size("held")
-    prefix = held.where(length > own).select("id", "n", "bits", "part", own.alias("own"), F.posexplode(F.slice("held", F.lit(1), (length - own).cast("int"))).alias("at", "p"))
-    prefix = stored(prefix.join(sets.select("id", "parity"), "id").select("id", "n", "bits", "part", "parity", (F.col("n") - F.col("own") - F.col("at")).alias("rest"), F.col("p.shingle").alias("shingle")), "prefixes")
+    prefix = held.where(length > own).select("id", "which", "n", "bits", "part", own.alias("own"), F.posexplode(F.slice("held", F.lit(1), (length - own).cast("int"))).alias("at", "p"))
+    prefix = stored(prefix.join(sets.select("id", "which", "parity"), ["id", "which"]).select("id", "n", "bits", "part", "parity", (F.col("n") - F.col("own") - F.col("at")).alias("rest"), F.col("p.shingle").alias("shingle")), "prefixes")
     # one side of a pair is outside the shingle's first component, so a large component never meets itself
     first = prefix.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle", "lo")
+    first = stored(first, "first-parts")
     named = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "bits", "part", "rest", "parity")]
     # at its first common shingle a pair's sets hold `rest` shingles still, which must reach the least intersection
     enough = F.least("x_rest", "y_rest") * F.lit(100 + percent) >= percent * (F.col("x_n") + F.col("y_n"))
@@ -156,7 +165,12 @@ def linked_components(docs: DataFrame, id_col: str, text_col: str, words: int, p
     """Stored sketches of all rows, and stored (id, component) of the class representatives that have links."""
     all_sketches = stored(sketches(docs, id_col, text_col, words, m, r), "sketches")
     full, classes = classes_of(all_sketches)
-    reps = full.join(classes, ["n", "set_a", "set_b"]).where("id = rep").dropDuplicates(["id"]).select("id", "n", "bits", "a", "b")
+    # an id that repeats with different texts can stand for several classes; its rows here are then several
+    reps = full.join(classes, ["n", "set_a", "set_b"]).where("id = rep").dropDuplicates(["id", "n", "set_a", "set_b"]).select("id", "n", "bits", "a", "b")
+    placed = full.join(classes, ["n", "set_a", "set_b"]).select("id", "rep")
+    spread = stored(placed.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id", "x", "hi"), "repeated")
+    repeated = not spread.isEmpty()
+    same = placed.join(spread.where("x < hi"), "id").where("rep > x").select("x", F.col("rep").alias("y")).distinct()
     table = F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("key")
     members = reps.select("id", "n", "bits", table)
 
@@ -167,6 +181,7 @@ def linked_components(docs: DataFrame, id_col: str, text_col: str, words: int, p
 
     # first star: members against the smallest id of their key
     keys = members.groupBy("key").agg(F.min("id").alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    keys = stored(keys, "keys")
     shared = stored(members.join(keys, "key"), "shared")
     facts = reps.select("id", "n", "bits")
     leaders = facts.select(F.col("id").alias("x"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits"))
@@ -176,21 +191,25 @@ def linked_components(docs: DataFrame, id_col: str, text_col: str, words: int, p
     def settled(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = stored(candidates, "pairs")
         ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-        return pairs, confirmed(pairs, stored(sets_of(docs, ids, id_col, text_col, words), "sets"), percent)
+        return pairs, confirmed(pairs, stored(sets_of(docs, ids, id_col, text_col, words, repeated), "sets"), percent)
 
     tried, links = settled(tried)
+    if repeated:
+        links = links.unionByName(stored(same, "same-id"))
     parts = stored(connected_components(links, "x", "y"), "parts")
 
     def apart(parts: DataFrame) -> DataFrame:
         """Members of the keys that still hold several components, with their component."""
         placed = shared.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
         open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+        open_keys = stored(open_keys, "open-keys")
         return stored(placed.join(open_keys, "key").select("key", "id", "n", "bits", F.col("x").alias("leader"), "part"), "apart")
 
     # second star: against the member with most links
     degree = links.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     open1 = apart(parts)
     hubs = open1.join(degree, "id").where("id <> leader").groupBy("key").agg(F.max(F.struct("degree", "id", "n", "bits", "part")).alias("hub")).select("key", F.col("hub.id").alias("x"), F.col("hub.n").alias("x_n"), F.col("hub.bits").alias("x_bits"), F.col("hub.part").alias("x_part"))
+    hubs = stored(hubs, "hubs")
     second = (
         open1.join(hubs, "key")
         .where("part <> x_part and id <> leader")
@@ -205,7 +224,7 @@ def linked_components(docs: DataFrame, id_col: str, text_col: str, words: int, p
 
     # the rest: members of keys that hold several components, all of them
     open2 = apart(parts)
-    sets = stored(sets_of(docs, open2.select("id").distinct(), id_col, text_col, words), "sets")
+    sets = stored(sets_of(docs, open2.select("id").distinct(), id_col, text_col, words, repeated), "sets")
     third = prefix_pairs(open2.select("id", "n", "bits", "part").distinct(), sets, percent, similar)
     last = confirmed(stored(third, "pairs"), sets, percent)
     links = links.unionByName(last)
@@ -227,6 +246,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """docs without the members of each near-duplicate group but the one with the smallest id."""
-    found = near_components(docs, id_col, text_col, words, percent)
-    gone = found.where("component_id < id").select(F.col("id").alias(id_col)).distinct()
+    with scratch() as keep:
+        found = near_components(docs, id_col, text_col, words, percent)
+        gone = stored(found.where("component_id < id").select(F.col("id").alias(id_col)).distinct(), "gone")
+        keep(gone)
     return docs.join(gone, id_col, "left_anti")

@@ -60,6 +60,17 @@ def test_line_dedup_null_id_and_empty_table(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_passes_clashing_names_through(spark):
+    names = ["id", "tag", "pos", "a", "b", "drops", "lines", "id_", "docs", "home", "LINE", "__text", "__id", "__tag", "__lines", "n_dropped"]
+    rows = [(i, LONG, *[f"{n}{i}" for n in names]) for i in range(6)]
+    made = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    got = line_dedup.dedup_lines(made)
+    assert got.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_dropped"]
+    for r in got.collect():
+        assert (r["text"], r["n_dropped"]) == ((LONG, 0) if r["doc_id"] == 5 else ("", 1))
+        assert all(r[n] == f"{n}{r['doc_id']}" for n in names[:-1])
+
+
 # ---- URL reputation -------------------------------------------------------------------------------------------------
 
 
@@ -266,6 +277,28 @@ def test_near_duplicates_edge_rows(spark):
     assert near_dup.near_components(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids_do_not_depend_on_order(spark):
+    """An id is one document: its texts are in one component, and a link of one of them is a link of the id."""
+    base = {c: [f"{c}{i}" for i in range(60)] for c in "abcd"}
+    near = lambda c: " ".join([*base[c][:-1], "other"])
+    text = {c: " ".join(w) for c, w in base.items()}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["b"]), (3, text["a"]), (4, near("b")), (5, text["c"]), (6, text["d"]), (7, near("d")), (7, near("c")), (8, text["c"]), (1, text["a"]), (9, "x")]
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 9}
+    for order in (rows, rows[::-1], sorted(rows, key=repr)):
+        got = near_dup.near_components(docs(spark, order).coalesce(1)).collect()
+        assert len(got) == len(rows) and {r["id"]: r["component_id"] for r in got} == want and all(want[r["id"]] == r["component_id"] for r in got)
+    assert sorted({r["doc_id"] for r in near_dup.drop_near_duplicates(docs(spark, rows)).collect()}) == [1, 5, 9]
+
+
+def test_near_duplicates_of_many_edited_copies(spark):
+    """Copies of one text with so many edits that most are no links: the exact prefix join settles them."""
+    rng = np.random.default_rng(21)
+    base = [f"w{x}" for x in range(200)]
+    rows = [(i, " ".join(edited(rng, base, 0.035))) for i in range(120)]
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_components(docs(spark, rows), words=5, percent=80).collect()}
+    assert got == brute_components(rows, 5, 80)
+
+
 def test_components_of_a_path_and_a_hub(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (None, 3), (2000, 1999), (1999, 2000)]
     got = {r["id"]: r["component"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
@@ -304,6 +337,30 @@ def test_contamination_equals_brute_force(spark):
     assert contamination.find_items(docs(spark, rows), bench.where("false")).count() == 0
 
 
+def test_contamination_recall_by_item_size(spark):
+    """Items that stand whole in a document are found at every size, one-shingle items above all."""
+    rng = np.random.default_rng(12)
+    sizes = (1, 2, 3, 5, 8, 9, 20, 60, 200)
+    items, rows = [], []
+    for k, size in enumerate(sizes):
+        for j in range(60):
+            words = [f"v{x}" for x in rng.integers(0, 60, size + 4)]
+            items.append((100 * k + j, " ".join(words)))
+            noise = [f"v{x}" for x in rng.integers(0, 60, int(rng.integers(0, 1500)))]
+            cut = int(rng.integers(0, len(noise) + 1))
+            rows.append((100 * k + j, " ".join(noise[:cut] + words + noise[cut:])))
+    found = {(r["doc_id"], r["item_id"]) for r in contamination.find_items(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for k, size in enumerate(sizes):
+        assert sum((100 * k + j,) * 2 in found for j in range(60)) == 60, size
+
+
+def test_contamination_of_a_very_long_text(spark, monkeypatch):
+    item = " ".join(f"q{i}" for i in range(14))
+    long_text = " ".join(f"n{i % 7919} m{i % 104_729}" for i in range(600_000)) + " " + item
+    got = contamination.find_items(docs(spark, [(1, long_text), (2, "n1 m1")]), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["containment"]) for r in got] == [(1, 7, 1.0)]
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(contamination, "BLOCK_ITEMS", 2)
     items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i}") for i in range(5)], "item_id long, text string")
