@@ -1,16 +1,25 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes.
 
-Fit (bounded): at most EXAMPLES_TOXIC and EXAMPLES_CLEAN labelled rows, first by hash of their id; terms are words and
-word prefixes; the TERMS terms most associated with the label are kept.  Inverse document frequencies of those terms are
-counted over all documents.  Votes of the nearest examples, weighted by closeness and by how many labelled rows an
-example stands for, are calibrated by isotonic regression on leave-one-out votes.
+Fit (bounded): at most EXAMPLES_TOXIC and EXAMPLES_CLEAN labelled rows, first by hash of their id, weighted by the labelled
+rows that they stand for.  Terms are words and word prefixes held by LEAST_SHARE to MOST_SHARE of the labelled rows and
+by LEAST_SUPPORT examples; the label takes no part in their choice.  Inverse document frequencies are counted over all
+documents.  The cosine is taken in a diagonal metric learned from the examples: a term's weight is its TF-IDF times
+min(1, |z| / FULL_Z), FLOOR at least, where z is its association with the label, of either sign.  So every text with
+ordinary words has neighbours, and terms that tell the labels apart count for more.  Votes of the nearest examples,
+weighted by closeness and by how many labelled rows an example stands for, are calibrated by isotonic regression on
+leave-one-out votes.
+
+PREFIXES, LEAST_SHARE, MOST_SHARE, FLOOR, FULL_Z and NEIGHBOURS were chosen by three-fold cross-validation inside rows that are not
+held out (README has the figures).
 
 Score: every whole text is a query.  Examples stand in blocks with the largest weight of each term; blocks are opened in
 the order of their score bound until the bound falls under the k-th best cosine, so the neighbours are exact.
 
 Defined cases: null and empty texts and texts without a kept term get the calibrated rate of such texts; a null label
 or id teaches nothing; a document labelled twice takes its larger label; without labels every score is 0.1; repeated rows
-are scored each; an empty table gives an empty table; columns of the input other than id and text are not read.
+are scored each; equal cosines go to the example that stands first in the index; an empty table gives an empty table;
+columns of the input other than id and text are not read by score_documents and passed through by drop_toxic, where a
+null id does no harm because no id is read.
 """
 
 from __future__ import annotations
@@ -18,21 +27,24 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored
+from .common import discard, small_batches, stored
 
-EXAMPLES_TOXIC, EXAMPLES_CLEAN, TERMS, NEIGHBOURS, BLOCK = 1500, 2500, 4000, 15, 64
-LEAST_SUPPORT, LEAST_Z = 5, 6.0
-PREFIXES = (4, 5, 6)
+EXAMPLES_TOXIC, EXAMPLES_CLEAN, NEIGHBOURS, BLOCK = 1000, 2000, 15, 64
+LEAST_SHARE, MOST_SHARE, LEAST_SUPPORT = 0.01, 0.1, 5
+FLOOR, FULL_Z = 0.1, 8.0
+PREFIXES = (5,)
 #: Letters and digits of ASCII in lower case and all bytes of other characters make words; all else separates.
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() and not chr(b).isupper() else ord(chr(b).lower()) if chr(b).isupper() else 32 for b in range(256))
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))])
+EVIDENCE = pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])
+SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(EVIDENCE))])
 SCORES_DDL = "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,label:int>>"
 
 
@@ -50,102 +62,126 @@ def terms_of(word: bytes) -> list[bytes]:
 
 
 class TermCounts(dict):
-    """word -> indices of the kept terms it holds; remembers up to a limit."""
+    """word -> indices of the kept terms it holds; remembers up to a limit, which bounds memory and changes nothing."""
 
-    def __init__(self, terms: dict[bytes, int], limit: int = 150_000):
+    def __init__(self, terms: dict[bytes, int], limit: int = 300_000):
         super().__init__()
-        self.terms, self.limit = terms, limit
+        self.limit = limit
+        self.words = {t: i for t, i in terms.items() if not t.endswith(b"*")}
+        self.starts = [(n, {t[:-1]: i for t, i in terms.items() if t.endswith(b"*") and len(t) == n + 1}) for n in PREFIXES]
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        value = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
+        found = [self.words.get(word), *(held.get(word[:n]) for n, held in self.starts if len(word) >= n)]
+        value = tuple(i for i in found if i is not None)
         if len(self) < self.limit:
             self[word] = value
         return value
 
-    def of(self, text: bytes) -> Counter:
-        counts: Counter = Counter()
-        for found in filter(None, map(self.__getitem__, words_of(text))):
-            counts.update(found)
-        return counts
+    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(term indices in order, how often each is held)."""
+        found = np.fromiter(chain.from_iterable(map(self.__getitem__, words_of(text))), np.int32)
+        return np.unique(found, return_counts=True)
 
 
-def vector(counts: Counter, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(term indices, weights) of unit length, tf damped by a logarithm; empty where no term is held."""
-    if not counts:
-        return np.zeros(0, np.int64), np.zeros(0)
-    at = np.fromiter(sorted(counts), np.int64, len(counts))
-    w = (1 + np.log(np.array([counts[i] for i in at], float))) * idf[at]
+def vector(at: np.ndarray, counts: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(term indices, weights) of unit length, tf damped by a logarithm; empty where no term with a scale is held."""
+    w = (1 + np.log(counts)) * scale[at]
     norm = math.sqrt(float(w @ w))
     return (at, w / norm) if norm else (at[:0], w[:0])
 
 
 class BlockMaxIndex:
-    """Examples in blocks; per term, the blocks that hold it with its largest weight there, and the postings."""
+    """Examples in blocks of BLOCK; per term and block the largest weight, and postings sorted by block, then term."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
-        self.count = len(vectors)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.count, self.terms = len(vectors), terms
         self.blocks = -(-self.count // BLOCK)
-        self.best: dict[int, np.ndarray] = {}
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(self.blocks):
-            held: dict[int, list] = {}
-            for k, (at, w) in enumerate(vectors[b * BLOCK : (b + 1) * BLOCK]):
-                for t, x in zip(at.tolist(), w.tolist()):
-                    held.setdefault(t, []).append((k, x))
-            self.postings.append({t: (np.array([k for k, _ in p]), np.array([x for _, x in p])) for t, p in held.items()})
-            for t, p in held.items():
-                self.best.setdefault(t, np.zeros(self.blocks))[b] = max(x for _, x in p)
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, ties to the smaller index; skip leaves one example out."""
-        query = [(t, x) for t, x in zip(at.tolist(), w.tolist()) if t in self.best]
-        if not query:
-            return []
-        bound = sum(x * self.best[t] for t, x in query)
+        sizes = [len(at) for at, _ in vectors]
+        who = np.repeat(np.arange(self.count), sizes)
+        term = np.concatenate([at for at, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        cell = who // BLOCK * terms + term
+        order = np.argsort(cell, kind="stable")
+        self.who, self.weight = who[order].astype(np.int32), weight[order]
+        self.start = np.searchsorted(cell[order], np.arange(self.blocks * terms + 1)).astype(np.int32)
+        self.best = np.zeros((terms, self.blocks))
+        np.maximum.at(self.best, (term, who // BLOCK), weight)
+
+    def scores(self, blocks: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cosines of the examples in some blocks, 0 for all others."""
+        cells = (blocks[:, None] * self.terms + at[None]).ravel()
+        begin = self.start[cells]
+        sizes = self.start[cells + 1] - begin
+        held = np.nonzero(sizes)[0]
+        begin, sizes, w = begin[held], sizes[held], w[held % len(at)]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        postings = np.repeat(begin - ends + sizes, sizes)
+        postings += np.arange(len(postings), dtype=np.int32)
+        return np.bincount(self.who[postings], np.repeat(w, sizes) * self.weight[postings], self.count)
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, examples): the k of largest cosine above 0, ties to the smaller index; skip leaves one example out.
+
+        The blocks of the best bounds are opened first; then all whose bound reaches the k-th best cosine."""
+        top, who = np.zeros(0), np.zeros(0, np.int64)
+        if not len(at) or not self.count:
+            return top, who
+        bound = w @ self.best[at]
         order = np.argsort(-bound, kind="stable")
-        top: list[tuple[float, int]] = []
-        for b in order.tolist():
-            if bound[b] <= 0 or len(top) >= k and bound[b] * (1 + 1e-9) < top[k - 1][0]:
+        opened, step = 0, 6
+        while opened < self.blocks:
+            least = top[k - 1] if len(top) >= k else 0.0
+            some = order[opened : opened + step]
+            some = some[(bound[some] > 0) & (bound[some] * (1 + 1e-9) >= least)]
+            if not len(some):
                 break
-            scores, postings = np.zeros(BLOCK), self.postings[b]
-            for t, x in query:
-                if (p := postings.get(t)) is not None:
-                    scores[p[0]] += x * p[1]
-            least = top[k - 1][0] if len(top) >= k else 0.0
-            hit = np.nonzero((scores >= least) & (scores > 0))[0]
-            if len(hit):
-                top += [(float(scores[i]), b * BLOCK + i) for i in hit.tolist() if b * BLOCK + i != skip]
-                top.sort(key=lambda x: (-x[0], x[1]))
-                del top[k:]
-        return top
+            scores = self.scores(some, at, w)
+            found = np.nonzero((scores > 0) & (scores >= least))[0]
+            found = found[found != skip]
+            top, who = np.concatenate([top, scores[found]]), np.concatenate([who, found])
+            first = np.lexsort((who, -top))[:k]
+            top, who = top[first], who[first]
+            opened, step = opened + step, self.blocks
+        return top, who
 
 
 class Model:
-    def __init__(self, ids: list[int], labels: np.ndarray, weights: np.ndarray, terms: dict[bytes, int], idf: np.ndarray, counts: list[Counter], prior: float):
-        self.ids, self.labels, self.weights, self.terms, self.idf, self.prior = ids, labels, weights, terms, idf, prior
-        vectors = [vector(c, idf) for c in counts]
-        self.index = BlockMaxIndex(vectors)
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, terms: dict[bytes, int], scale: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]], prior: float):
+        """held has (term indices, counts) of each example; weights are the labelled rows that an example stands for."""
+        self.ids, self.labels, self.weights, self.terms, self.scale, self.prior = ids, labels, weights, terms, scale, prior
+        vectors = [vector(*h, scale) for h in held]
+        self.index = BlockMaxIndex(vectors, len(terms))
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.none = prior
         if len(ids):
-            votes = [self.vote(self.index.nearest(*v, NEIGHBOURS, i)) for i, v in enumerate(vectors)]
+            votes = [self.vote(*self.index.nearest(*v, NEIGHBOURS, i)) for i, v in enumerate(vectors)]
             empty = np.array([v is None for v in votes])
             self.none = float((weights[empty] @ labels[empty] + prior) / (weights[empty].sum() + 1))
             if not empty.all():
                 self.knots = isotonic(np.array([v for v in votes if v is not None]), labels[~empty], weights[~empty])
 
-    def vote(self, near: list[tuple[float, int]]) -> float | None:
+    def vote(self, cosines: np.ndarray, near: np.ndarray) -> float | None:
         """Share of label 1 among the neighbours: closeness 1 / (distance + 0.1), one pseudo-vote of the prior."""
-        if not near:
+        if not len(near):
             return None
-        at = np.array([i for _, i in near])
-        w = self.weights[at] / (1.1 - np.array([c for c, _ in near]))
-        return float((w @ self.labels[at] + self.prior) / (w.sum() + 1))
+        w = self.weights[near] / (1.1 - cosines)
+        return float((w @ self.labels[near] + self.prior) / (w.sum() + 1))
 
-    def score(self, counts: Counter) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(*vector(counts, self.idf), NEIGHBOURS)
-        vote = self.vote(near)
-        return (self.none if vote is None else float(np.interp(vote, *self.knots))), near
+    def score(self, text: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score, cosines of the nearest examples, these examples)."""
+        if not hasattr(self, "find"):
+            self.find = TermCounts(self.terms)  # a worker keeps it between tasks, with the words it has met
+        cosines, near = self.index.nearest(*vector(*self.find.of(text), self.scale), NEIGHBOURS)
+        vote = self.vote(cosines, near)
+        return (self.none if vote is None else float(np.interp(vote, *self.knots))), cosines, near
+
+
+def term_scales(idf: np.ndarray, df: np.ndarray, pos: np.ndarray, rate: float) -> np.ndarray:
+    """idf times the learned factor: z is how far `pos`, the examples with label 1 among the `df` that hold a term, lies from
+    rate * df."""
+    expected = df * rate
+    z = (pos - expected) / np.sqrt(expected * (1 - rate) + 1e-9)
+    return idf * np.maximum(FLOOR, np.minimum(1.0, np.abs(z) / FULL_Z))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,49 +230,58 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # at most EXAMPLES_TOXIC + EXAMPLES_CLEAN ids are broadcast
     examples = texts.join(F.broadcast(chosen), "id").mapInArrow(words, "id long, label int, term binary, tf long")
     examples = stored(examples, "examples")
-    sample = examples.select("id", "label").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    got = {r["label"]: r["n"] for r in sample.collect()}
-    n1, n0 = got.get(1, 0), got.get(0, 0)
+    who = examples.groupBy("id").agg(F.max("label").alias("label")).toArrow()
+    label_of = dict(zip(who.column("id").to_pylist(), who.column("label").to_pylist()))
+    n1, n0 = sum(label_of.values()), len(label_of) - sum(label_of.values())
     prior = (total.get(1, 0) + 0.1) / (sum(total.values()) + 1)
-    if not n1 + n0:
-        return Model([], np.zeros(0), np.zeros(0), {}, np.zeros(0), [], prior)
-    rate = n1 / (n1 + n0)
-    expected = F.col("df") * rate
-    ranked = (
-        examples.where("tf > 0")
-        .groupBy("term")
-        .agg(F.countDistinct("id").alias("df"), F.countDistinct(F.when(F.col("label") == 1, F.col("id"))).alias("pos"))
-        .where(F.col("df") >= LEAST_SUPPORT)
-        .withColumn("z", (F.col("pos") - expected) / F.sqrt(expected * (1 - rate) + F.lit(1e-9)))
-        .where(F.col("z") >= LEAST_Z)
+    if not label_of:
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), {}, np.zeros(0), [], prior)
+    # labelled rows that an example stands for, and the share of all labelled rows that a term is held by
+    w1, w0 = total.get(1, 0) / max(n1, 1), total.get(0, 0) / max(n0, 1)
+    share = (F.col("pos") * w1 + (F.col("df") - F.col("pos")) * w0) / F.lit(n1 * w1 + n0 * w0)
+    # an id whose text repeats is one example: its largest count holds
+    once = examples.where("tf > 0").groupBy("id", "term").agg(F.max("label").alias("label"), F.max("tf").alias("tf"))
+    chosen_terms = (
+        once.groupBy("term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("pos"))
+        .where((F.col("df") >= LEAST_SUPPORT) & share.between(LEAST_SHARE, MOST_SHARE))
+        .toArrow()
+        .sort_by("term")
     )
-    terms = {bytes(r["term"]): i for i, r in enumerate(ranked.orderBy(F.desc("z"), "term").limit(TERMS).select("term").collect())}
-    idf = inverse_frequencies(texts, terms)
-    wanted = spark.createDataFrame([(bytearray(t), i) for t, i in terms.items()], "term binary, at int") if terms else None
-    rows: dict[int, tuple[int, Counter]] = {r["id"]: (r["label"], Counter()) for r in examples.select("id", "label").distinct().collect()}
-    if wanted is not None:
-        for r in examples.join(F.broadcast(wanted), "term").groupBy("id", "at").agg(F.max("tf").alias("tf")).collect():
-            rows[r["id"]][1][r["at"]] = r["tf"]
-    # examples of one kind stand together, which tightens the block bounds
-    order = sorted(rows, key=lambda i: (rows[i][0], min(rows[i][1], default=TERMS), i))
-    label = np.array([rows[i][0] for i in order], float)
-    stands_for = np.where(label == 1, total.get(1, 0) / max(n1, 1), total.get(0, 0) / max(n0, 1))
-    return Model(order, label, stands_for, terms, idf, [rows[i][1] for i in order], prior)
+    terms = {t: i for i, t in enumerate(chosen_terms.column("term").to_pylist())}
+    scale = term_scales(inverse_frequencies(texts, terms), chosen_terms.column("df").to_numpy().astype(float), chosen_terms.column("pos").to_numpy().astype(float), n1 / (n1 + n0))
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {i: (np.zeros(0, np.int64), np.zeros(0, np.int64)) for i in label_of}
+    if terms:
+        wanted = spark.createDataFrame(pa.table({"term": pa.array(list(terms), pa.binary()), "at": pa.array(range(len(terms)), pa.int64())}))
+        rows = once.join(F.broadcast(wanted), "term").select("id", "at", "tf").toArrow()
+        ident, at, tf = (rows.column(c).to_numpy() for c in ("id", "at", "tf"))
+        order = np.lexsort((at, ident))
+        ident, at, tf = ident[order], at[order], tf[order]
+        cuts = np.nonzero(np.diff(ident))[0] + 1
+        for i, a, n in zip(ident[np.concatenate([[0], cuts])].tolist() if len(ident) else [], np.split(at, cuts), np.split(tf, cuts)):
+            held[i] = (a, n)
+    discard(examples)
+    # examples of one label and one language stand together, which tightens the block bounds: sorted by their commonest term
+    common = chosen_terms.column("df").to_numpy()
+    commonest = {i: int(a[np.argmax(common[a])]) if len(a) else -1 for i, (a, _) in held.items()}
+    order = sorted(held, key=lambda i: (label_of[i], commonest[i], i))
+    label = np.array([label_of[i] for i in order], float)
+    return Model(np.array(order, np.int64), label, np.where(label == 1, w1, w0), terms, scale, [held[i] for i in order], prior)
 
 
 def inverse_frequencies(texts: DataFrame, terms: dict[bytes, int]) -> np.ndarray:
     """ln((1 + documents) / (1 + documents with the term)) over all documents; tasks send one count per term."""
     spark = texts.sparkSession
-    held = spark.sparkContext.broadcast(terms)
+    held = spark.sparkContext.broadcast(TermCounts(terms))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, df, n = TermCounts(held.value), Counter(), 0
+        find, df, n = held.value, np.zeros(len(terms), np.int64), 0
         for batch in batches:
             for text in batch.column(0):
-                df.update(find.of(text.as_py() or b"").keys())
+                df[find.of(text.as_py() or b"")[0]] += 1
                 n += 1
-        df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(df.keys(), pa.int32()), pa.array(df.values(), pa.int64())], names=["at", "df"])
+        some = np.nonzero(df)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int32()), pa.array([n, *df[some].tolist()], pa.int64())], names=["at", "df"])
 
     counted = {r["at"]: r["df"] for r in texts.select("text").mapInArrow(count, "at int, df long").groupBy("at").agg(F.sum("df").alias("df")).collect()}
     total = counted.get(-1, 0)
@@ -249,14 +294,14 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        find = TermCounts(model.terms)
         for batch in batches:
-            rows = []
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                score, near = model.score(find.of(text.as_py() or b""))
-                rows.append((ident, score, [{"doc_id": model.ids[i], "cosine": c, "label": int(model.labels[i])} for c, i in near]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SCORES.types)], schema=SCORES)
+            if not batch.num_rows:
+                continue
+            scores, cosines, near = zip(*(model.score(text.as_py() or b"") for text in batch.column(1)))
+            ends = np.cumsum([0, *map(len, near)])
+            who = np.concatenate(near)
+            found = pa.StructArray.from_arrays([pa.array(model.ids[who]), pa.array(np.concatenate(cosines)), pa.array(model.labels[who].astype(np.int32))], fields=list(EVIDENCE))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found).cast(SCORES.field(2).type)], schema=SCORES)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(task, SCORES_DDL)
 
@@ -267,9 +312,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        find = TermCounts(model.terms)
         for batch in batches:
-            keep = [model.score(find.of((t.as_py() or "").encode()))[0] < threshold for t in batch.column(column)]
+            keep = [model.score((t.as_py() or "").encode())[0] < threshold for t in batch.column(column)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)
