@@ -1,21 +1,26 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
 Vectors are quantised to integers.  Adding the coordinate sqrt(M^2 - |x|^2) to every datum (0 to a query) turns the largest
-inner product into the smallest distance, so the triangle inequality holds: pivots cut data and queries into cells, and
-per-cell summaries (size, radius, the k smallest pivot distances) bound how far a query group's k-th neighbour can be.
-A data cell is visited by a query group only if its nearest possible datum is within that bound.
+inner product into the smallest distance, so the triangle inequality holds: pivots, whose number grows with the root of
+the data, cut data into cells, and per-cell summaries (rows, radius, least distance, the rows nearest to the pivot) bound
+how far a query's k-th neighbour can be.  A query goes to a cell only if the ring of the cell and its side of the plane
+between the two pivots leave room for a datum within that bound.  Rows of the query's own id are left out of its
+bound one by one, so an id that repeats costs the bounds of its own queries only.
 
-Cells are cut into blocks of bounded size by a hash of the id, so a cell of a third of all rows is many tasks.  Data stays
-where it was dealt; the small query groups are replicated to the blocks that they need, solved there, and the k best per
-query and block are merged by another partial top-k.
+Cells are cut into blocks of bounded size by a hash of the id, so a cell of a third of all rows is many tasks.  Queries are
+replicated to the blocks that they need, solved there, and the k best per query and block are merged by another partial
+top-k.  Where vectors lie in all directions alike, as random ones do, no bound excludes anything and every query meets
+every block; on clustered vectors most cells are left out (README has the measured shares).
 
 Defined cases: null vectors, vectors with null or non-finite components, and null ids take no part; a query sees
 vectors of its own length only; rows that repeat an id are candidates each, never for a query of that id; a query with fewer
-than k candidates gets all; an empty table gives an empty table; other columns are not read.
+than k candidates gets all; components beyond 64 bits saturate there, and so do scores, which then tie and go to the
+smaller id; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import small_batches, stored
+from .common import scratch, small_batches, stored
 
-PIVOTS, BLOCK_ROWS, BATCH_QUERIES, MOST_SMALLEST = 48, 4096, 16_384, 64
+#: Plan sizes; results do not depend on them.  Pivots are the root of the rows, within these bounds, spread by
+#: farthest-first choice among so many times their number of rows.
+LEAST_PIVOTS, MOST_PIVOTS, PIVOT_SAMPLE, BLOCK_ROWS, BATCH_QUERIES = 8, 1024, 8, 16_384, 16_384
+FOUND_DDL = "query_id long, copy long, vec_id long, score long"
 
 
 def quantised(table: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -42,59 +50,129 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column.flatten(), np.int64).reshape(len(column), -1)
 
 
-def assigned(rows: DataFrame, pivots: np.ndarray, top: float, is_query: bool) -> DataFrame:
-    """rows with their nearest pivot (cell) and its distance, in the space where closeness is inner product."""
+def lifted(v: np.ndarray, top: float | None) -> np.ndarray:
+    """Data (top: the largest square of a norm) or queries (None) in the space where closeness is inner product."""
+    x = v.astype(float)
+    extra = np.zeros(len(x)) if top is None else np.sqrt(np.maximum(top - (x * x).sum(1), 0))
+    return np.column_stack([x, extra])
+
+
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ pivots.T + (pivots * pivots).sum(1)[None], 0))
+
+
+def assigned(rows: DataFrame, pivots: np.ndarray, top: float) -> DataFrame:
+    """rows with their nearest pivot (cell) and its distance."""
     held = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = held.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column("v")).astype(float)
-            extra = np.zeros(len(x)) if is_query else np.sqrt(np.maximum(top - (x * x).sum(1), 0))
-            x = np.column_stack([x, extra])
-            square = np.maximum((x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)[None], 0)
-            cell = square.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell, pa.int32()), pa.array(np.sqrt(square[np.arange(len(x)), cell]))], names=["id", "v", "cell", "dist"])
+            if batch.num_rows:
+                far = distances(lifted(matrix(batch.column("v")), top), held.value)
+                cell = far.argmin(1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cell, pa.int32()), pa.array(far[np.arange(len(far)), cell])], names=["id", "v", "cell", "dist"])
 
     return rows.select("id", "v").mapInArrow(task, "id long, v array<long>, cell int, dist double")
 
 
-def summaries(cells: DataFrame, keep: int) -> dict[int, tuple[int, float, list[float]]]:
-    """cell -> (rows, radius, its smallest pivot distances): one bounded row per cell, pre-aggregated in the tasks."""
+def spread_out(x: np.ndarray, count: int) -> np.ndarray:
+    """The first row, then again and again the row farthest from those chosen."""
+    chosen, far = [0], np.full(len(x), np.inf)
+    while len(chosen) < min(count, len(x)):
+        far = np.minimum(far, distances(x, x[chosen[-1:]])[:, 0])
+        far[chosen] = -1
+        chosen.append(int(far.argmax()))
+    return x[chosen]
+
+
+class Cells:
+    """What the bounds need to know of all cells: pivots, rows, radius, least distance, and the `keep` rows of
+    different ids nearest to the pivot (distance and id; infinite where there are fewer)."""
+
+    def __init__(self, pivots: np.ndarray, found: dict[int, tuple[int, float, float, list]], keep: int, top: float):
+        self.cells = np.array(sorted(found), np.int64)
+        self.pivots = pivots[self.cells]
+        self.rows, self.radius, self.least = (np.array([found[c][i] for c in self.cells.tolist()], float) for i in range(3))
+        self.near, self.ids = np.full((len(self.cells), keep), np.inf), np.zeros((len(self.cells), keep), np.int64)
+        for k, c in enumerate(self.cells.tolist()):
+            first: dict[int, float] = {}
+            for dist, ident in found[c][3]:
+                first.setdefault(ident, dist)
+            for j, (ident, dist) in enumerate(list(first.items())[:keep]):
+                self.near[k, j], self.ids[k, j] = dist, ident
+        self.gap = distances(self.pivots, self.pivots)
+        self.longest = math.sqrt(top)
+        # rounding of a distance is about the root of a double's precision times the norms
+        self.slack = 1e-6 * (1 + self.longest)
+
+    def visits(self, ids: np.ndarray, v: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the cells that can hold one of its k nearest."""
+        out = []
+        step = max(1, (1 << 21) // max(1, self.near.size))
+        for at in range(0, len(v), step):
+            far = distances(lifted(v[at : at + step], None), self.pivots)
+            reach = far[:, :, None] + np.where(self.ids[None] == ids[at : at + step, None, None], np.inf, self.near[None])
+            reach = reach.reshape(len(far), -1)
+            limit = np.partition(reach, k - 1)[:, k - 1] if reach.shape[1] >= k else np.full(len(far), np.inf)
+            # scores that may saturate can tie beyond any bound
+            limit[np.linalg.norm(v[at : at + step].astype(float), axis=1) * self.longest >= 2**62] = np.inf
+            home = far.argmin(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (far**2 - (far[np.arange(len(far)), home] ** 2)[:, None]) / (2 * self.gap[home])
+            plane[~np.isfinite(plane)] = 0
+            apart = np.maximum(np.maximum(far - self.radius[None], self.least[None] - far), plane)
+            out += [self.cells[row] for row in apart <= limit[:, None] * (1 + 1e-9) + self.slack]
+        return out
+
+
+def summaries(cells: DataFrame, keep: int) -> dict[int, tuple[int, float, float, list]]:
+    """cell -> (rows, radius, least distance, its nearest (distance, id)): one bounded row per cell, pre-aggregated in
+    the tasks."""
+    ddl = "cell int, n long, radius double, least double, near array<struct<dist:double,id:long>>"
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list] = {}
         for batch in batches:
-            cell, dist = np.asarray(batch.column("cell")), np.asarray(batch.column("dist"))
+            cell, dist, ids = (np.asarray(batch.column(c)) for c in ("cell", "dist", "id"))
             for c in np.unique(cell).tolist():
-                d = np.sort(dist[cell == c])
-                n, r, small = seen.get(c, (0, 0.0, []))
-                seen[c] = (n + len(d), max(r, float(d[-1])), sorted([*small, *d[:keep].tolist()])[:keep])
+                d, who = dist[cell == c], ids[cell == c]
+                n, radius, near = seen.get(c, (0, 0.0, {}))
+                near = dict(near)
+                for j in np.argsort(d, kind="stable").tolist():
+                    if len(near) >= keep and d[j] >= max(near.values()):
+                        break
+                    near[int(who[j])] = min(float(d[j]), near.get(int(who[j]), np.inf))
+                    near = dict(sorted(near.items(), key=lambda x: x[1])[:keep])
+                seen[c] = (n + len(d), max(radius, float(d.max())), near)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), *(pa.array([s[i] for s in seen.values()], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.list_(pa.float64()))))], names=["cell", "n", "radius", "small"])
+            least = [min(s[2].values()) for s in seen.values()]
+            near = [[{"dist": d, "id": i} for i, d in s[2].items()] for s in seen.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.int32()), pa.array([s[0] for s in seen.values()], pa.int64()), pa.array([s[1] for s in seen.values()], pa.float64()), pa.array(least, pa.float64()), pa.array(near, pa.list_(pa.struct([("dist", pa.float64()), ("id", pa.int64())])))],
+                names=["cell", "n", "radius", "least", "near"],
+            )
 
     merged = (
-        cells.select("cell", "dist")
-        .mapInArrow(task, "cell int, n long, radius double, small array<double>")
+        cells.select("cell", "dist", "id")
+        .mapInArrow(task, ddl)
         .groupBy("cell")
-        .agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.slice(F.sort_array(F.flatten(F.collect_list("small"))), 1, max(keep, 1)).alias("small"))
+        .agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.min("least").alias("least"), F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, 4 * keep).alias("near"))
     )
-    return {r["cell"]: (r["n"], r["radius"], list(r["small"])[:keep]) for r in merged.collect()}
+    return {r["cell"]: (r["n"], r["radius"], r["least"], [(x["dist"], x["id"]) for x in r["near"]]) for r in merged.collect()}
 
 
-def visits(data: dict, groups: dict, pivots: np.ndarray, need: int) -> dict[int, list[int]]:
-    """query group -> the data cells that can hold one of the nearest of some query in it.
+def routed(asked: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """asked with copy, which tells queries of one id apart, and the cells that each visits."""
+    held = asked.sparkSession.sparkContext.broadcast(cells)
 
-    need counts neighbours with those that may be a query's own rows; bounds get slack for rounding."""
-    gap = np.sqrt(np.maximum(((pivots[:, None] - pivots[None]) ** 2).sum(2), 0))
-    out = {}
-    for g, (_, reach, _) in groups.items():
-        far = sorted(reach + gap[g, c] + e for c, (_, _, small) in data.items() for e in small)
-        limit = far[need - 1] if len(far) >= need else np.inf
-        out[g] = [c for c, (_, radius, _) in data.items() if gap[g, c] - reach - radius <= limit * (1 + 1e-9) + 1e-6]
-    return out
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = held.value.visits(np.asarray(batch.column("id")), matrix(batch.column("v")), k)
+                ends = np.cumsum([0, *map(len, found)])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copy"), batch.column("v"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found), pa.int32()))], names=["id", "copy", "v", "cells"])
+
+    return asked.select("id", F.xxhash64("v").alias("copy"), "v").mapInArrow(task, "id long, copy long, v array<long>, cells array<int>")
 
 
 def solve(k: int):
@@ -108,12 +186,16 @@ def solve(k: int):
         order = np.argsort(ids, kind="stable")
         ids, data = ids[order], matrix(left.column("v"))[order]
         asked, copies, q = np.asarray(right.column("id").combine_chunks()), np.asarray(right.column("copy").combine_chunks()), matrix(right.column("v"))
-        exact = float(np.abs(data).max(initial=0)) * float(np.abs(q).max(initial=0)) * data.shape[1] < 2**53
-        data_t = data.T.astype(float) if exact else data.T
+        largest = float(np.abs(data.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * data.shape[1]
+        # doubles hold the scores exactly, else 64 bits do, else Python's integers do and saturate
+        kind = float if largest < 2**53 else np.int64 if largest < 2**62 else object
+        data_t = data.T.astype(kind)
         rows: list[np.ndarray] = []
-        for at in range(0, len(q), 256):
-            part = (q[at : at + 256].astype(float) @ data_t) if exact else q[at : at + 256] @ data_t
-            own = ids[None] == asked[at : at + 256, None]
+        step = max(1, (1 << 22) // len(ids))
+        for at in range(0, len(q), step):
+            part = q[at : at + step].astype(kind) @ data_t
+            part = np.minimum(np.maximum(part, -(2**63)), 2**63 - 1).astype(np.int64) if kind is object else part.astype(np.int64)
+            own = ids[None] == asked[at : at + step, None]
             for i in range(len(part)):
                 s = part[i]
                 open_to = np.nonzero(~own[i])[0] if own[i].any() else None
@@ -131,47 +213,52 @@ def solve(k: int):
     return task
 
 
-def top_of_dimension(data: DataFrame, asked: DataFrame, k: int, pivots: int, repeats: int) -> DataFrame:
-    """(query_id, copy, vec_id, score): the k best of every query within each block that it visits."""
-    spark = data.sparkSession
-    top = data.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("m")).first()["m"]
-    if top is None:
-        return spark.createDataFrame([], "query_id long, copy long, vec_id long, score long")
-    chosen = np.array([r["v"] for r in data.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(pivots).select("v").collect()], float)
-    centres = np.unique(np.column_stack([chosen, np.sqrt(np.maximum(top - (chosen * chosen).sum(1), 0))]), axis=0)
-    cells = stored(assigned(data, centres, top, False), "cells")
-    groups = stored(assigned(asked, centres, top, True), "groups")
-    need = k + repeats
-    sizes = summaries(cells, need if need <= MOST_SMALLEST else 0)
-    asking = summaries(groups, 0)
-    wanted = visits(sizes, asking, centres, need)
-    # plan: blocks per cell, batches of queries per cell; a few numbers per pair of cells
-    load = {c: sum(asking[g][0] for g, cs in wanted.items() if c in cs) for c in sizes}
-    plan = [(c, max(1, -(-sizes[c][0] // BLOCK_ROWS)), max(1, -(-load[c] // BATCH_QUERIES))) for c in sizes if load[c]]
-    steps = spark.createDataFrame(plan, "cell int, blocks int, batches int")
-    pairs = spark.createDataFrame([(g, c, b, n) for g, cs in wanted.items() for c, b, n in plan if c in cs], "cell int, target int, blocks int, batches int")
+def cells_of(data: DataFrame, k: int, pivots: int | None) -> tuple[DataFrame, Cells] | None:
+    """Stored data with its cells, and their summaries; None without data."""
+    about = data.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("top"), F.count(F.lit(1)).alias("n")).first()
+    if not about["n"]:
+        return None
+    count = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, int(math.sqrt(about["n"]))))
+    some = np.array([r["v"] for r in data.orderBy(F.xxhash64("id", F.lit(7)), "id", "v").limit(PIVOT_SAMPLE * count).select("v").collect()], np.int64)
+    centres = spread_out(np.unique(lifted(some, about["top"]), axis=0), count)
+    cells = stored(assigned(data, centres, about["top"]), "cells")
+    return cells, Cells(centres, summaries(cells, k + 1), k + 1, about["top"])
+
+
+def top_of_dimension(data: DataFrame, asked: DataFrame, k: int, pivots: int | None) -> DataFrame | None:
+    """FOUND_DDL: the k best of every query within each block that it visits."""
+    made = cells_of(data, k, pivots)
+    if made is None:
+        return None
+    spark, (cells, about) = data.sparkSession, made
+    queries = stored(routed(asked, about, k), "routed")
+    load = {r["cell"]: r["count"] for r in queries.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
+    # plan: blocks per cell and batches of queries per cell, one row per cell
+    plan = [(int(c), max(1, -(-int(n) // BLOCK_ROWS)), max(1, -(-load[int(c)] // BATCH_QUERIES))) for c, n in zip(about.cells, about.rows) if int(c) in load]
+    steps = F.broadcast(spark.createDataFrame(plan, "cell int, blocks int, batches int"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = cells.join(F.broadcast(steps), "cell").select("cell", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), spread(F.col("batches")).alias("batch"), "id", "v")
+    left = cells.join(steps, "cell").select("cell", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), spread(F.col("batches")).alias("batch"), "id", "v")
     right = (
-        groups.withColumn("copy", F.xxhash64("v"))
-        .join(F.broadcast(pairs), "cell")
-        .select(F.col("target").alias("cell"), spread(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("batches")).cast("int").alias("batch"), "id", "copy", "v")
+        queries.select(F.explode("cells").alias("cell"), "id", "copy", "v")
+        .join(steps, "cell")
+        .select("cell", spread(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("id", F.lit(2)), F.col("batches")).cast("int").alias("batch"), "id", "copy", "v")
     )
     key = ["cell", "block", "batch"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(solve(k), "query_id long, copy long, vec_id long, score long")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(solve(k), FOUND_DDL)
 
 
-def top_inner_products(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+def top_inner_products(table: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest integer inner products, ties to the smaller id."""
     small_batches(table.sparkSession)
-    data = stored(quantised(table, id_col, vec_col, scale), "vectors")
-    asked = stored(quantised(queries, id_col, vec_col, scale).distinct(), "queries")
-    repeats = data.groupBy("id").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    best = None
-    for d in sorted(r["dim"] for r in asked.select("dim").distinct().collect()):
-        part = top_of_dimension(data.where(F.col("dim") == d), asked.where(F.col("dim") == d), k, pivots, repeats)
-        best = part if best is None else best.unionByName(part)
-    if best is None:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    with scratch() as keep:
+        data = stored(quantised(table, id_col, vec_col, scale), "vectors")
+        asked = stored(quantised(queries, id_col, vec_col, scale).distinct(), "queries")
+        best = table.sparkSession.createDataFrame([], FOUND_DDL)
+        for d in sorted(r["dim"] for r in asked.select("dim").distinct().collect()):
+            part = top_of_dimension(data.where(F.col("dim") == d), asked.where(F.col("dim") == d), k, pivots)
+            best = best if part is None else best.unionByName(part)
+        order = Window.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
+        top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = stored(top.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "top")
+        keep(out)
+    return out
