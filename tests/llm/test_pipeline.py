@@ -24,14 +24,13 @@ def test_every_operator_has_its_query():
 
 def brute_score(model, text):
     """All cosines, no index."""
-    find = toxicity.TermCounts(model.terms)
     vectors = brute_score.vectors
     query = np.zeros(len(model.terms))
-    at, w = toxicity.vector(find.of((text or "").encode()), model.idf)
+    at, w = toxicity.vector(*toxicity.TermCounts(model.terms).of((text or "").encode()), model.scale)
     query[at] = w
     cosines = vectors @ query
     near = sorted(((c, i) for i, c in enumerate(cosines) if c > 1e-12), key=lambda x: (-round(x[0], 9), x[1]))[: toxicity.NEIGHBOURS]
-    vote = model.vote([(float(c), i) for c, i in near])
+    vote = model.vote(np.array([c for c, _ in near]), np.array([i for _, i in near], int))
     return model.none if vote is None else float(np.interp(vote, *model.knots))
 
 
@@ -40,9 +39,10 @@ def test_pipeline_equals_brute_force(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in table.collect()]
     model = toxicity.fit(table, spark.read.parquet(f"{data}/labels.parquet"))
     brute_score.vectors = np.zeros((len(model.ids), len(model.terms)))
-    for i, block in enumerate(model.index.postings):
-        for t, (k, w) in block.items():
-            brute_score.vectors[i * toxicity.BLOCK + k, t] = w
+    index = model.index
+    for cell in range(index.blocks * index.terms):
+        for k in range(index.start[cell], index.start[cell + 1]):
+            brute_score.vectors[index.who[k], cell % index.terms] = index.weight[k]
     rows = [(i, t) for i, t in rows if brute_score(model, t) < 0.3]
     rows = [(i, t) for i, n, gone, t in brute_lines(rows) if not gone or gone < n]
     found = brute_components(rows, 5, 80)
