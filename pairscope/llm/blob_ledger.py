@@ -1,23 +1,29 @@
 """Secret scans over an incremental blob ledger, DataFrame functions only.
 
 Every version of every path is content-addressed by SHA-256.  Only (blob, rule set version) pairs missing from the
-ledger are scanned, each blob once however many paths hold it; findings are then joined back to all paths.
+ledger are scanned, each blob once however many paths hold it; their entries are appended to the ledger, from which
+findings are joined back to all paths.  A rule set's version is the digest of its rules, so changed rules scan anew by
+themselves.
 
 Spans are found without UDFs: the pieces between matches and the matches themselves give running code point offsets.
 
-Defined cases: a null content is the empty blob; an empty blob has no findings; repeated rows each get the findings;
-an empty table gives an empty table.  The result has exactly the key columns, blob and findings, so clashing extra columns
+Defined cases: a null content is the empty blob; an empty blob has no findings; repeated rows each get the findings; a
+null path or version is a value like others; a text of any length is one blob; an empty table gives an empty table.  The result has exactly the key columns, blob and findings, so clashing extra columns
 cannot disturb it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .common import shared_root
+
 
 class Rule(NamedTuple):
     """kind; pattern (Java); smallest length; the group that length is of, 0 for the match."""
@@ -39,27 +45,30 @@ EXTRA = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 1),
 )
 RULES = BASE + EXTRA
-RULES_VERSION = "1"
+ENTRIES_DDL = "blob string, rules_version string, findings array<struct<start:int,kind_rank:int,end:int,kind:string>>"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """The digest of the rules in their order."""
+    return hashlib.sha256(repr([tuple(r) for r in rules]).encode()).hexdigest()
 
 
 def blob_of(content: Column) -> Column:
     return F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256)
 
 
-def unseen_blobs(versions: DataFrame, ledger: DataFrame | None, rules_version: str) -> DataFrame:
+def unseen_blobs(versions: DataFrame, ledger: DataFrame, rules_version: str) -> DataFrame:
     """(blob, content) of one carrier row for each blob without a ledger entry for this rule version.
 
     Carriers are chosen on (blob, row tag) alone, so text is moved once and never aggregated."""
     keyed = versions.select(blob_of(F.col("content")).alias("blob"), F.xxhash64("path", "version").alias("tag"), F.coalesce("content", F.lit("")).alias("content"))
-    carriers = keyed.groupBy("blob").agg(F.min("tag").alias("tag"))
-    if ledger is not None:
-        done = ledger.where(F.col("rules_version") == rules_version).select("blob").distinct()
-        carriers = carriers.join(done, "blob", "left_anti")
+    done = ledger.where(F.col("rules_version") == rules_version).select("blob")
+    carriers = keyed.groupBy("blob").agg(F.min("tag").alias("tag")).join(done, "blob", "left_anti")
     return keyed.join(carriers.hint("shuffle_hash"), ["blob", "tag"], "left_semi").select("blob", "content")
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, findings) for blobs with findings, sorted by start, then by the order of the rules.
+    """(blob, findings) of every blob, findings sorted by start, then by the order of the rules, null where there are none.
 
     A text is cut by each rule into (gap, match) lengths; a running sum per blob and rule gives the offsets."""
     text = F.col("content")
@@ -75,42 +84,45 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             zipped,
             lambda m, i: F.struct(F.lit(rank).alias("kind_rank"), i.alias("at"), m["gap"].alias("gap"), m["len"].alias("len"), (m["size"] >= rule.least).alias("long")),
         )
-        return F.when(text.rlike(rule.pattern), made).otherwise(F.array().cast("array<struct<kind_rank:int,at:int,gap:int,len:int,long:boolean>>"))
+        # the last gap has no match behind it
+        return F.when(text.rlike(rule.pattern), F.filter(made, lambda m: m["len"].isNotNull())).otherwise(F.array().cast("array<struct<kind_rank:int,at:int,gap:int,len:int,long:boolean>>"))
 
     each = Window.partitionBy("blob", "kind_rank").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind_rank") + 1)
+    found = F.sort_array(F.collect_list(F.when(F.col("long"), F.struct((F.col("end") - F.col("len")).alias("start"), "kind_rank", "end", kind.alias("kind")))))
     return (
-        blobs.select("blob", F.explode(F.concat(*[cuts(i, r) for i, r in enumerate(rules)])).alias("m"))
+        blobs.select("blob", F.explode_outer(F.concat(*[cuts(i, r) for i, r in enumerate(rules)])).alias("m"))
         .select("blob", "m.*")
-        .where(F.col("len").isNotNull())
         .dropDuplicates(["blob", "kind_rank", "at"])
         .withColumn("end", F.sum(F.col("gap") + F.col("len")).over(each).cast("int"))
-        .where("long")
         .groupBy("blob")
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct((F.col("end") - F.col("len")).alias("start"), "kind_rank", "end", kind.alias("kind")))
-            ).alias("findings")
-        )
+        .agg(found.alias("findings"))
+        .withColumn("findings", F.when(F.size("findings") > 0, F.col("findings")))
     )
 
 
-def scan_history(
-    versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION
-) -> tuple[DataFrame, DataFrame]:
-    """versions (path, version, content) -> (path, version, blob, findings) and the new ledger entries.
+class Ledger:
+    """Entries (ENTRIES_DDL) as parquet under a folder that all executors reach; one appended part per update."""
 
-    ledger and entries are (blob, rules_version, findings); blobs without findings are entered too, so that they are
-    not scanned again.  findings is null for a clean blob."""
-    named = versions.select("path", "version", blob_of(F.col("content")).alias("blob"))
-    fresh = unseen_blobs(versions, ledger, rules_version)
-    found = scan_blobs(fresh, rules)
-    entries = (
-        fresh.select("blob").distinct().join(found, "blob", "left").select("blob", F.lit(rules_version).alias("rules_version"), "findings")
-    )
-    if ledger is not None:
-        found = found.unionByName(ledger.where((F.col("rules_version") == rules_version) & F.col("findings").isNotNull()).select("blob", "findings"))
-    return named.join(found, "blob", "left").select("path", "version", "blob", "findings"), entries
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark, self.folder = spark, (folder or f"{shared_root(spark)}/ledger-{uuid.uuid4().hex}").rstrip("/")
+
+    def entries(self) -> DataFrame:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], ENTRIES_DDL)
+        return self.spark.read.schema(ENTRIES_DDL).parquet(self.folder)
+
+    def update(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Scan the blobs of versions (path, version, content) that have no entry for these rules, append their entries, and
+        return (path, version, blob, findings) for all versions, read from the ledger.
+
+        Blobs without findings are entered too, so that they are not scanned again; their findings are null."""
+        number = version_of(rules)
+        scanned = scan_blobs(unseen_blobs(versions, self.entries(), number), rules)
+        scanned.select("blob", F.lit(number).alias("rules_version"), "findings").write.mode("append").parquet(self.folder)
+        known = self.entries().where((F.col("rules_version") == number) & F.col("findings").isNotNull()).select("blob", "findings")
+        return versions.select("path", "version", blob_of(F.col("content")).alias("blob")).join(known, "blob", "left").select("path", "version", "blob", "findings")
 
 
 def spans_text(findings: Column, ranks: int | None = None) -> Column:

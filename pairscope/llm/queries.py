@@ -35,7 +35,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
-    findings, _ = blob_ledger.scan_history(versions)
+    findings = blob_ledger.Ledger(spark).update(versions)
     f = F.col("findings")
     count = lambda rank: F.coalesce(F.size(F.filter(f, lambda x: x["kind_rank"] == rank)), F.lit(0)).cast("long")
     return findings.select(

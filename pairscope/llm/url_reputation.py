@@ -1,11 +1,12 @@
 """URL verdicts from explicit rules and an empirical-Bayes host reputation, DataFrame functions only.
 
-Labelled page outcomes (1 good, 0 bad) are counted per host, registered domain and suffix.  Each level is a
+Labelled page outcomes (1 good, 0 bad) are counted per host, which is the only pass over the pages before they are
+judged; registered domains and suffixes are sums over hosts.  Each level is a
 beta-binomial whose prior mean is the shrunk mean of the level above and whose concentration is estimated by moments;
 a host is blocked when the upper posterior bound of its good rate lies under the threshold.
 
 Defined cases: a null url or one without "://" has an empty host and path and shares the reputation of the empty host;
-a null page id has no outcome; several outcomes for one page all count; without any outcome every host has the
+pages that repeat are judged each and count each; a null page id has no outcome; several outcomes for one page all count; without any outcome every host has the
 global prior; an empty table gives an empty table.  Columns that clash with the output are replaced.
 """
 
@@ -16,9 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, scratch, stored
 
-#: Suffixes of two labels under which names are registered; all others count one label.
+#: Default of the parameter `suffixes`: suffixes of two labels under which names are registered; all others count one
+#: label.  A caller with a public suffix list passes its two-label entries.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in", "com.cn", "co.za")
 
 
@@ -43,15 +45,15 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
     return (none, none) if rule is None else (rule, verdict)
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     last = F.substring_index(host, ".", -1)
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(last)
+    return F.when(two.isin(*suffixes), two).otherwise(last)
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def concentration(units: DataFrame, mean: str) -> float:
@@ -69,12 +71,13 @@ def concentration(units: DataFrame, mean: str) -> float:
     return 1e4 if rho <= 1e-4 else min(1e4, max(1.0, 1 / rho - 1))
 
 
-def host_reputation(hosts: DataFrame) -> DataFrame:
-    """hosts (host, n, s) with posterior columns mean and sd; one row per host, sums per level are pre-aggregated.
+def host_reputation(hosts: DataFrame, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """Stored hosts (host, n, s) with posterior columns mean and sd; one row per host, sums per level are pre-aggregated and
+    stored, so that each is counted once however often it is used.
 
     A prior never holds the outcomes it is applied to: a host is shrunk to its domain without the host, a domain to its
     suffix without the domain."""
-    named = hosts.select("host", "n", "s", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"))
+    named = hosts.select("host", "n", "s", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"))
     total = named.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     overall = ((total["s"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)
     sums = [F.sum("n").alias("n"), F.sum("s").alias("s")]
@@ -84,12 +87,12 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
         both = inner.join(outer.withColumnsRenamed({"n": "n_out", "s": "s_out"}), key)
         return both.withColumn(out, (F.col("s_out") - F.col("s") + k * prior) / (F.col("n_out") - F.col("n") + k)).drop("n_out", "s_out")
 
-    domains = named.groupBy("suffix", "domain").agg(*sums)
-    suffixes = domains.groupBy("suffix").agg(*sums)
-    k_suffix = concentration(suffixes.withColumn("m", F.lit(overall)), "m")
-    by_suffix = without(suffixes, domains, "suffix", F.lit(overall), k_suffix, "m_suffix")
+    domains = stored(named.groupBy("suffix", "domain").agg(*sums), "domains")
+    tops = stored(domains.groupBy("suffix").agg(*sums), "suffixes")
+    k_suffix = concentration(tops.withColumn("m", F.lit(overall)), "m")
+    by_suffix = stored(without(tops, domains, "suffix", F.lit(overall), k_suffix, "m_suffix"), "by-suffix")
     k_domain = concentration(by_suffix, "m_suffix")
-    level = without(by_suffix.drop("suffix"), named, "domain", F.col("m_suffix"), k_domain, "m_domain")
+    level = stored(without(by_suffix.drop("suffix"), named, "domain", F.col("m_suffix"), k_domain, "m_domain"), "by-domain")
     k = concentration(level, "m_domain")
     a = F.col("s") + k * F.col("m_domain")
     ab = F.col("n") + F.lit(k)
@@ -106,21 +109,23 @@ def judge_urls(
     url_col: str = "url",
     threshold: float = 0.5,
     z: float = 1.645,
+    suffixes: Sequence[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """pages with host, path, rule, verdict, posterior_mean and posterior_upper; outcomes is (id_col, good)."""
     own = ("host", "path", "rule", "verdict", "posterior_mean", "posterior_upper")
     host, path = host_and_path(F.col(url_col))
     named = pages.select(*[c for c in pages.columns if c.lower() not in own], host.alias("host"), path.alias("path"))
-    counted = outcomes.where(F.col("good").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(
-        F.count("good").alias("__n"), F.sum(F.col("good").cast("double")).alias("__s")
-    )
-    hosts = (
-        named.select(F.col(id_col).alias("__id"), "host")
-        .join(counted, "__id", "left")
-        .groupBy("host")
-        .agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n"), F.coalesce(F.sum("__s"), F.lit(0.0)).alias("s"))
-    )
-    known = host_reputation(hosts).select(F.col("host"), F.col("mean").alias("posterior_mean"), (F.col("mean") + z * F.col("sd")).alias("posterior_upper"))
+    counted = outcomes.where(F.col("good").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.count("good").alias("n"), F.sum(F.col("good").cast("double")).alias("s"))
+    with scratch() as keep:
+        hosts = (
+            pages.select(F.col(id_col).alias("id"), host.alias("host"))
+            .join(counted, "id", "left")
+            .groupBy("host")
+            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+        )
+        known = host_reputation(stored(hosts, "hosts"), suffixes)
+        known = stored(known.select("host", F.col("mean").alias("posterior_mean"), (F.col("mean") + z * F.col("sd")).alias("posterior_upper")), "known-hosts")
+        keep(known)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("posterior_upper") < threshold, F.lit("block")).otherwise(F.lit("allow"))
     return named.join(known, "host", "left").select(

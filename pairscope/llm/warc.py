@@ -8,8 +8,13 @@ Archives and the index lie under one folder that every executor reaches (any fil
 writes under another name and only the rows of finished tasks enter the index, so a lost executor leaves at most an
 unreferenced file.
 
-Defined cases: a null payload is empty; a null url is the empty string; rows that repeat an id and a payload are all
-responses where that id is the smallest; an empty table gives an empty index; only the named columns are read.
+The digests that several rows share are a table of their own, so a payload of a third of all rows is dealt to many tasks
+when pages meet it.
+
+Defined cases: a null payload is empty; a null url is the empty string; blanks, controls and other characters up to the
+blank are percent-escaped in the record's target URI and read back so, the index keeps the url as given; rows that repeat
+an id and a payload are all responses where that id is the smallest; a row without an id revisits the smallest id of its
+payload; an empty table gives an empty index; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_root, small_batches
+from .common import discard, shared_root, small_batches, stored
 
 INDEX_SCHEMA = "id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 READ_SCHEMA = "id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -86,7 +92,7 @@ def parsed(member: bytes) -> dict:
 def shared_payloads(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
     """(sha, size, first, n) of payloads held by several rows; first is the smallest id.
 
-    Only (id, digest, size) is grouped; payloads stay in place because the digest is computed where they are read."""
+    Only (id, digest, size) is grouped, by partial minima; digests are computed where the payloads are read."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     keyed = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size"))
     firsts = (
@@ -109,7 +115,7 @@ def write_archives(
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size")
     )
-    firsts = shared_payloads(pages, id_col, payload_col, min_bytes)
+    firsts = stored(shared_payloads(pages, id_col, payload_col, min_bytes).select("sha", "size", "first"), "shared-payloads")
     rows = rows.join(firsts.hint("shuffle_hash"), ["sha", "size"], "left").select(
         "id", "url", "payload", F.when(F.col("first") < F.coalesce("id", F.lit(2**63 - 1)), F.col("first")).alias("refers_to")
     )
@@ -137,6 +143,7 @@ def write_archives(
                 out.close()
 
     rows.mapInArrow(write, INDEX_SCHEMA).write.parquet(f"{folder}/index")
+    discard(firsts)
     index = spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
     index._folder = folder
     return index
@@ -153,10 +160,13 @@ READ_ARROW = pa.schema(
 def read_records(selected: DataFrame, folder: str, gap: int = 64 << 10, span: int = 4 << 20) -> DataFrame:
     """The records (READ_SCHEMA) of selected index rows.
 
-    Rows are dealt by (file, stretch of 64 spans), sorted by offset, and ranges less than gap bytes apart are read at
-    once up to span bytes, so a large archive is read by many tasks and no task holds more than one range."""
-    stretch = F.floor(F.col("offset") / (64 * span))
-    dealt = selected.select("file", "offset", "length").repartition("file", stretch).sortWithinPartitions("file", "offset")
+    Rows are range-sorted by file and offset into as many partitions as there are spans of 16 in the selected records, the
+    session's shuffle partitions at least, so the archives' bytes decide and not the small index rows; ranges less than
+    gap bytes apart are read at once up to span bytes.  No task holds more than one range."""
+    rows = selected.select("file", "offset", "length")
+    total = rows.agg(F.sum("length").alias("n")).first()["n"] or 0
+    n = max(int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (16 * span)))
+    dealt = rows.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(folder)

@@ -74,6 +74,20 @@ def test_line_dedup_passes_clashing_names_through(spark):
 # ---- URL reputation -------------------------------------------------------------------------------------------------
 
 
+def test_urls_nulls_repeats_and_long(spark):
+    long_url = "http://" + "h" * 5000 + ".com/" + "p" * 200_000
+    rows = [(1, "http://a.com/x"), (1, "http://a.com/x"), (None, "http://a.com/y"), (2, long_url), (3, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("id", F.lit(9)).withColumn("s", F.lit("z")).withColumn("verdict", F.lit("old"))
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1)], "page_id long, good int")
+    got = url_reputation.judge_urls(pages, labels)
+    assert got.columns == ["page_id", "url", "id", "s", "host", "path", "rule", "verdict", "posterior_mean", "posterior_upper"]
+    found = got.collect()
+    assert len(found) == 5 and all(r["id"] == 9 and r["s"] == "z" and r["verdict"] in ("allow", "block") for r in found)
+    assert [len(r["path"]) for r in found if r["page_id"] == 2] == [200_001]
+    other = spark.createDataFrame([("a.b.my.id",)], "h string").select(url_reputation.domain_of(F.col("h"), ["my.id"]).alias("d")).first()
+    assert other["d"] == "b.my.id"
+
+
 def test_hosts_paths_and_rules(spark):
     urls = ["http://A.Example.ORG/es/x?q#f", "https://example.org/en/17", "nothing", None, "x://h?p/q", "ftp://shop.COM/fr/", "http://b.com/de/#z", "http://org", "http://notexample.org/es/", "a://b://c/d", "http://example.com/fr"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("n", F.lit(1))
@@ -129,22 +143,36 @@ TEXTS = [
 def test_spans_equal_brute_force(spark):
     rows = list(enumerate(TEXTS)) + [(100, TEXTS[3]), (101, TEXTS[3]), (3, TEXTS[3])]
     df = spark.createDataFrame([(i, 0, t, "x") for i, t in rows], "path long, version int, content string, blob string")
-    found, entries = blob_ledger.scan_history(df)
+    ledger = blob_ledger.Ledger(spark)
+    found = ledger.update(df)
     got = sorted((r["path"], r["s"]) for r in found.select("path", blob_ledger.spans_text(F.col("findings"), 3).alias("s")).collect())
     assert got == sorted((i, brute_spans(t)) for i, t in rows)
-    assert entries.count() == len({t or "" for _, t in rows})
+    assert ledger.entries().count() == len({t or "" for _, t in rows})
 
 
 def test_ledger_skips_seen_blobs_and_scans_again_for_new_rules(spark):
     first = spark.createDataFrame([("a", 1, TEXTS[3]), ("b", 1, "clean")], "path string, version int, content string")
-    _, ledger = blob_ledger.scan_history(first)
-    ledger = common.stored(ledger, "ledger")
-    second = first.unionByName(spark.createDataFrame([("a", 2, TEXTS[6])], first.schema))
-    found, new = blob_ledger.scan_history(second, ledger)
-    assert new.count() == 1
-    assert {(r["path"], r["version"]): r["findings"] is not None for r in found.collect()} == {("a", 1): True, ("a", 2): True, ("b", 1): False}
-    assert blob_ledger.scan_history(second, ledger, rules_version="2")[1].count() == 3
-    assert blob_ledger.scan_history(second.where("false"))[0].count() == 0
+    ledger = blob_ledger.Ledger(spark)
+    ledger.update(first)
+    second = first.unionByName(spark.createDataFrame([("a", 2, TEXTS[6]), (None, None, TEXTS[6])], first.schema))
+    found = {(r["path"], r["version"]): r["findings"] is not None for r in ledger.update(second).collect()}
+    assert ledger.entries().count() == 3
+    assert found == {("a", 1): True, ("a", 2): True, (None, None): True, ("b", 1): False}
+    ledger.update(second)
+    assert ledger.entries().count() == 3
+    # a rule that changes under its name is another rule set
+    changed = tuple(r._replace(pattern="clean") if r.kind == "pem" else r for r in blob_ledger.RULES)
+    assert blob_ledger.version_of(changed) != blob_ledger.version_of(blob_ledger.RULES)
+    found = {(r["path"], r["version"]): r["findings"] for r in ledger.update(second, changed).collect()}
+    assert ledger.entries().count() == 6 and [f["kind"] for f in found["b", 1]] == ["pem"]
+    assert ledger.update(second.where("false")).count() == 0
+
+
+def test_spans_of_a_very_long_text(spark):
+    text = "token = abcdefgh é " * 20_000 + "f" * 30
+    df = spark.createDataFrame([(1, 0, text)], "path long, version int, content string")
+    got = blob_ledger.Ledger(spark).update(df).select(blob_ledger.spans_text(F.col("findings"), 3).alias("s")).first()["s"]
+    assert got == brute_spans(text)
 
 
 # ---- WARC -----------------------------------------------------------------------------------------------------------
@@ -168,6 +196,7 @@ def test_warc_round_trip(spark):
         assert r["payload_bytes"] == len(body) and r["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode()
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first == r["id"] else ("revisit", first))
         assert (r["payload"] is None) == (r["record_type"] == "revisit") and (r["payload"] is None or bytes(r["payload"]) == body)
+    assert warc.read_records(index, index._folder).rdd.getNumPartitions() > 1
     few = warc.read_records(index.where("id = 15"), index._folder).collect()
     assert len(few) == 1 and len(few[0]["payload"]) == 300_000
     big = warc.write_archives(pages, min_bytes=5)
