@@ -1,7 +1,14 @@
 """Corpus pipeline over documents: toxicity, line dedup, near-dedup, benchmark decontamination, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; the first four return the columns
-of documents with their decisions applied, the last returns the packed pieces with their token ids.
+of documents, and any others, with their decisions applied, the last returns the packed pieces with their token ids.
+
+Defined cases, in every stage: null and empty texts are kept as documents without words (line dedup makes a null text an
+empty one); a null id is kept by all filters but by line dedup's own rule, where it counts as one document below all
+others; nulls in other columns, extra columns and columns of clashing names pass through, but n_lines and n_dropped, which
+line dedup takes for its counts; rows that repeat an id are judged each, except that near-dedup takes an id as one
+document and drops all its rows or none; of equal documents the smallest id stays; an empty table gives an empty table;
+texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairscope.llm import contamination, line_dedup, near_dup, packing, toxicity
-from pairscope.llm.common import stored
+from pairscope.llm.common import discard, stored
 from pairscope.llm.queries import tokenizer_file
 
 
@@ -54,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of documents; of the stored stages only the last outlives the call."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
