@@ -492,8 +492,7 @@ def brute_toxicity(rows, labels):
     unit = lambda v: v / np.linalg.norm(v) if v.any() else v
     matrix = {i: unit(np.array([(1 + np.log(c[t])) * s if c[t] else 0.0 for t, s in zip(terms, scale)])) for i, c in counts.items()}
     prior = (sum(known.values()) + 0.1) / (len(known) + 1)
-    commonest = {i: max((k for k, t in enumerate(terms) if counts[i][t]), key=lambda k: (df[terms[k]], -k), default=-1) for i in label}
-    order = sorted(label, key=lambda i: (label[i], commonest[i], i))
+    order = sorted(label)
     dense, y = np.array([matrix[i] for i in order]), np.array([label[i] for i in order], float)
 
     def vote(v, skip=None):

@@ -63,3 +63,42 @@ def test_stages_keep_the_columns(spark, data):
         assert stage(spark, table, data).schema.simpleString() == table.schema.simpleString()
         empty = table.where("false")
         assert stage(spark, empty, data).count() == 0
+
+
+LONG_LINE = "a line of the licence that stands in many documents and is long enough to count"
+CASES = [
+    (1, "one two three four five six seven eight nine ten", "en"), (1, "one two three four five six seven eight nine ten", None), (2, "one two three four five six seven eight nine ten", "en"),
+    (None, "words without an id of any kind in this text", "en"), (None, None, None), (3, None, "en"), (4, "", "en"), (5, " \n\t\n ", None), (6, "x", "en"), (7, "long text " * 150_000 + "end", "en"),
+    *[(10 + i, f"{LONG_LINE}\nown words of document number {i} and nothing else {i * 7}", "en") for i in range(6)],
+]
+
+
+@pytest.mark.parametrize("at", range(4))
+def test_stage_edge_cases(spark, data, at):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, and columns named as operators name theirs."""
+    name, stage = corpus_pipeline.STAGES[at]
+    clash = ["id", "tag", "pos", "key", "component_id", "n_shingles", "score", "label", "drops", "lines", "set", "x", "part"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash)
+    made = spark.createDataFrame([(i, t, lang, None, len(t or ""), *[f"{c}!" for c in clash]) for i, t, lang in CASES], schema)
+    got = stage(spark, made, data)
+    assert got.schema.simpleString() == made.schema.simpleString()
+    rows = got.collect()
+    assert all(r[c] == f"{c}!" for r in rows for c in clash)
+    count = collections.Counter(r["doc_id"] for r in rows)
+    want = collections.Counter(i for i, _, _ in CASES)
+    if name == "MinHash near-dedup":
+        del want[2]
+    assert count == want
+    texts = {(r["doc_id"], r["text"]) for r in rows}
+    assert (7, CASES[9][1]) in texts and (None, CASES[3][1]) in texts
+    if name == "line dedup":
+        assert [LONG_LINE in t for i, t in sorted(x for x in texts if (x[0] or 0) >= 10)] == [False] * 5 + [True]
+        assert (3, "") in texts and all(r["n_chars"] == len(r["text"]) for r in rows)
+    else:
+        assert (3, None) in texts and (4, "") in texts
+
+
+def test_last_stage_edge_cases(spark, data):
+    made = spark.createDataFrame([(i, t, lang, "clash") for i, t, lang in CASES], "doc_id long, text string, lang string, ids string")
+    rows = corpus_pipeline.STAGES[-1][1](spark, made, data).collect()
+    assert sum(r["length"] for r in rows) == sum(len(slow_ids(t)) for _, t, _ in CASES)
