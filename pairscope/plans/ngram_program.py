@@ -33,10 +33,10 @@ class Prepared:
 def symbols(texts: DataFrame, id_col: str, text_col: str, gran: str) -> DataFrame:
     """(t, raw): bytes, or words as ids of first appearance, of all texts in id order."""
     if gran == "byte":
-        return tokens.dense_positions(tokens.byte_tokens(texts, id_col, text_col)).select("t", "raw")
+        return tokens.dense_tokens(texts, id_col, text_col, "byte").select("t", "raw")
     if gran != "word":
         raise ValueError(f"unknown granularity {gran}")
-    words = stored(tokens.dense_positions(tokens.word_tokens(texts, id_col, text_col)).select("t", "word"), "words")
+    words = stored(tokens.dense_tokens(texts, id_col, text_col).select("t", "word"), "words")
     return words.join(tokens.first_seen_ids(words), "word").select("t", "raw")
 
 

@@ -328,7 +328,7 @@ def top1_share(spark, d):
 
 
 def document_words(spark, d):
-    return tokens.dense_positions(tokens.word_tokens(table(spark, d, "documents"), "doc_id", "text"))
+    return tokens.dense_tokens(table(spark, d, "documents"), "doc_id", "text")
 
 
 WORDS = r"""w0 as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]')) word, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]'), 1) p from documents),

@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> None:
         from ..sources import tokens
 
         texts = spark.read.parquet(options.pop("documents"))
-        words = tokens.dense_positions(tokens.word_tokens(texts, "doc_id", "text"))
+        words = tokens.dense_tokens(texts, "doc_id", "text")
         if "words" in needed:
             fixed["words"] = words
         else:

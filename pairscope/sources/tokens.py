@@ -23,20 +23,28 @@ def word_tokens(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))).alias("pos", "word"))
 
 
-def dense_positions(tokens: DataFrame, id_col: str = "id", pos_col: str = "pos", out: str = "t") -> DataFrame:
-    """tokens with a dense global ordinal by (id, pos): offsets per id from a window over one row per id, positions within.
+def dense_tokens(texts: DataFrame, id_col: str, text_col: str, gran: str = "word", out: str = "t") -> DataFrame:
+    """(id, pos, raw or word, t): byte or word tokens with a dense global ordinal by (id, pos); ids must not repeat.
 
-    Only the id totals are ordered globally; the tokens stay where they are."""
-    totals = tokens.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy(id_col).orderBy(pos_col)) - 1
-    return tokens.withColumn("__at", within).join(before.select(id_col, "__before"), id_col).withColumn(out, (F.col("__before") + F.col("__at")).cast("long")).drop("__before", "__at")
+    pos is the place in the text already, so only the number of tokens per text is summed in id order, over range
+    partitions; texts meet their offset before they are cut, and tokens are never shuffled or sorted."""
+    from ..operators.ranks import sum_before
+
+    make = byte_tokens if gran == "byte" else word_tokens
+    named = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sizes = named.select("id", F.coalesce(F.octet_length("text") if gran == "byte" else F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
+    placed = named.join(sum_before(sizes, ["id"], "n").select("id", "before"), "id")
+    cut = make(placed.select(F.struct("id", "before").alias("key"), "text"), "key", "text").withColumnRenamed("id", "key")
+    rest = [c for c in cut.columns if c not in ("key", "pos")]
+    return cut.select(F.col("key.id").alias("id"), "pos", *rest, (F.col("key.before") + F.col("pos")).cast("long").alias(out))
 
 
 def first_seen_ids(tokens: DataFrame, word_col: str = "word", t_col: str = "t") -> DataFrame:
-    """(word, raw): ids in the order of first appearance."""
+    """(word, raw): ids in the order of first appearance, ranked over range partitions."""
+    from ..operators.ranks import global_rank
+
     firsts = tokens.groupBy(word_col).agg(F.min(t_col).alias("first"))
-    return firsts.select(word_col, (F.row_number().over(Window.orderBy("first")) - 1).alias("raw"))
+    return global_rank(firsts, ["first"], "__r").select(word_col, (F.col("__r") - 1).cast("int").alias("raw"))
 
 
 def vocabulary(tokens: DataFrame, raw_col: str, size: int, train) -> DataFrame:
