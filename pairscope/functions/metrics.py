@@ -54,7 +54,3 @@ def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     top = F.array_max(logits)
     e = F.transform(logits, lambda x: F.exp((x - top) / t))
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
-
-
-def sigmoid(x: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))

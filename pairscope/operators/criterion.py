@@ -83,6 +83,11 @@ def cell_table(df: DataFrame, a: str, b: str, y: str = "y", split: str = "split"
     )
 
 
+def top_cells(cells: DataFrame, most: int = 8) -> DataFrame:
+    """The first cells of a cell table by training rate, then support, then their values."""
+    return cells.orderBy(F.desc("train_rate"), F.desc("train_n"), "a", "b").limit(most)
+
+
 def cell_shares(df: DataFrame, a: str, b: str, size: int) -> DataFrame:
     """(max_share, occupied): the largest cell's share of rows and the share of size^2 cells that hold rows."""
     cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))

@@ -125,7 +125,7 @@ def as_readout(model: dict, features: list[str], cells: list[str], sizes: list[i
 def fit_lowrank(df: DataFrame, features: list[str], sizes: list[int], cells: list[str], alphabet: int, y: str, classes: int, ordinal: Column, n: int, dim: int = 8, sweeps: int = 6, method: str = "als", seed: int = 0, share: float = 0.7) -> tuple[Readout, dict]:
     """(read-out, factors), fitted on the first share of rows and tempered on the held-back rest."""
     cut = int(n * share)
-    tables = Tables(df.where(ordinal < cut), [*features, *cells, y], [*sizes, *[alphabet * alphabet] * len(cells), classes], budget=20_000)
+    tables = Tables(df.where(ordinal < cut), [*features, *cells, y], [*sizes, *[alphabet * alphabet] * len(cells), classes], budget=6000 + classes)
     stats = BlockStats(tables, features, cells, y)
     model = fit_blocks(stats, alphabet, dim, sweeps, seed=seed) if method == "als" else fit_gradient(stats, alphabet, dim, seed=seed)
     out = as_readout(model, features, cells, sizes, alphabet)

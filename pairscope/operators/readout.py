@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import accuracy, bits
-from .split import evenly_spaced
+from .split import evenly_spaced, ordinal_cut
 from .suffstats import Tables, gram_with_intercept, target_products
 
 #: Ridge on the intercept, and the range of temperatures.
@@ -72,7 +72,7 @@ def temperature_rows(df: DataFrame, features: list[str], y: str, ordinal: Column
 def fit_readout(df: DataFrame, features: list[str], sizes: list[int], y: str, classes: int, ordinal: Column, n: int, lam: float = 1e-2, share: float = 0.7, grid: int = 120) -> Readout:
     """Fitted on the first share of rows by ordinal (0..n-1), tempered on the rest; evaluation rows are never seen."""
     cut = int(n * share)
-    tables = Tables(df.where(ordinal < cut), [*features, y], [*sizes, classes])
+    tables = Tables(df.where(ordinal_cut(ordinal, n, share)), [*features, y], [*sizes, classes], budget=6000 + classes)
     weights = solve_ridge(gram_with_intercept(tables, features), target_products(tables, features, y), lam)
     logits = linear_logits(weights, sizes)
     out = Readout(list(features), logits, classes, parameters=weights.size)

@@ -24,6 +24,11 @@ def opponent_gate(bits: Column, acc: Column) -> Column:
     return (bits < 0.2) & (acc > 0.95)
 
 
+def entropy_gate(entropy: Column, least: float = 0.2) -> Column:
+    """The note that stands in for a fit where the label's entropy is under `least` bits, else null."""
+    return F.when(F.coalesce(entropy, F.lit(0.0)) < least, F.lit(f"DEGENERATE: label entropy under {least} bits"))
+
+
 def leak_control(rows: DataFrame, bps: str = "bps", unigram: str = "unigram_bps", slack: float = 0.02) -> DataFrame:
     """(margin, passes): on a shuffled stream no model may beat the unigram by more than the slack."""
     return rows.agg(F.min(F.col(bps) - F.col(unigram)).alias("margin")).withColumn("passes", F.col("margin") > -slack)
@@ -51,8 +56,9 @@ def parameters(kind: str, alphabet: int, classes: int, window: int = 0, dim: int
     raise ValueError(kind)
 
 
-def width_guard(alphabet: int, window: int, budget: int = 6000) -> str | None:
-    width = alphabet * alphabet + alphabet * window + 1
+def width_guard(alphabet: int, window: int, budget: int = 6000, pairs: int = 1) -> str | None:
+    """None where a design of window slots and the exact blocks of some pairs is within the budget, else its note."""
+    width = pairs * alphabet * alphabet + alphabet * window + 1
     return f"SKIPPED: width {width} > {budget}" if width > budget else None
 
 

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import criterion, lowrank, readout
+from ..operators import criterion, lowrank, readout, verdict
 from ..operators.candidates import all_pairs, pick, ranked
+from ..operators.encode import cell_id
 from ..operators.lags import with_lags
-from ..operators.split import strided
+from ..operators.split import first_half, strided
 from ..sources.shared import stored
 
 
@@ -42,11 +43,11 @@ def stream_design(stream: DataFrame, n: int, alphabet: int, classes: int, window
     ordinal = F.floor((t - first) / stride)
     count = max(0, -(-(half - first) // stride))
     names = [f"x{j}" for j in (slots if slots is not None else reach)]
-    return Design(rows.where(t < half), rows.where(t >= half), ordinal, count, names, alphabet, classes)
+    return Design(rows.where(first_half(t, n)), rows.where(~first_half(t, n)), ordinal, count, names, alphabet, classes)
 
 
 def with_cell(df: DataFrame, a: str, b: str, alphabet: int, name: str = "cell") -> DataFrame:
-    return df.withColumn(name, (F.col(a) * alphabet + F.col(b)).cast("int"))
+    return df.withColumn(name, cell_id(F.col(a), F.col(b), alphabet).cast("int"))
 
 
 def numbers(frame: DataFrame) -> dict:
@@ -60,8 +61,9 @@ def fit_additive(d: Design, y: str = "y", classes: int | None = None) -> readout
 def exact_block(d: Design, pairs: list[tuple[str, str]], y: str = "y", classes: int | None = None) -> dict:
     """bits and acc on test with exact joint blocks of the pairs beside the slots; bits None where too wide."""
     width = d.alphabet * len(d.slots) + len(pairs) * d.alphabet**2 + 1
-    if width > 6000:
-        return {"bits": None, "acc": None, "width": width, "note": f"SKIPPED: width {width} > 6000"}
+    note = verdict.width_guard(d.alphabet, len(d.slots), pairs=len(pairs))
+    if note:
+        return {"bits": None, "acc": None, "width": width, "note": note}
     train, test, names = d.train, d.test, []
     for k, (a, b) in enumerate(pairs):
         names.append(f"cell{k}")
@@ -71,6 +73,10 @@ def exact_block(d: Design, pairs: list[tuple[str, str]], y: str = "y", classes:
 
 
 def lowrank_block(d: Design, pairs: list[tuple[str, str]], y: str = "y", classes: int | None = None, dim: int = 8, sweeps: int = 6, method: str = "als") -> tuple[dict, dict]:
+    """(bits, acc, parameters and note, factors); nulls and no factors where the cells are too many for the driver's tables."""
+    note = verdict.width_guard(d.alphabet, len(d.slots), pairs=len(pairs))
+    if note:
+        return {"bits": None, "acc": None, "parameters": None, "note": note}, {}
     train, test, names = d.train, d.test, []
     for k, (a, b) in enumerate(pairs):
         names.append(f"cell{k}")

@@ -370,8 +370,9 @@ def fields_mode(spark: SparkSession, words: DataFrame, fields: int = 7, K: int =
     d, rows = record_design(spark, words, fields, K, limit, seed)
     row: dict = {"F": fields, "K": K, "n": rows.count(), "label_entropy": entropy(rows, "y").first()["entropy"] or 0.0}
     poor = encode.degenerate_fields(rows, d.slots).where("degenerate").count()
-    if row["label_entropy"] < 0.2:
-        row["note"] = "DEGENERATE: label entropy under 0.2 bits"
+    gate = spark.range(1).select(verdict.entropy_gate(F.lit(row["label_entropy"])).alias("note")).first()["note"]
+    if gate:
+        row["note"] = gate
     elif poor:
         row["note"] = f"DEGENERATE: {poor} fields with fewer than 3 values"
     else:

@@ -515,13 +515,6 @@ def verdicts(spark, d):
     return rows.select("case_id", verdict.interaction_verdict(F.col("best"), F.col("additive"), F.col("score"), F.col("thr")).alias("verdict"))
 
 
-@query("select l_linenumber, count(*) cells, count_if(l_tax = 0.0) \"first\", round(avg(l_quantity), 6) mean_rank, round(avg(l_discount), 6) mean_bits from lineitem group by 1")
-def sweep_summary(spark, d):
-    rows = table(spark, d, "lineitem").select("l_linenumber", F.when(F.col("l_tax") == 0, 1).otherwise(0).alias("rank"), "l_quantity", "l_discount")
-    made = rows.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("rank") == 1).alias("first"), F.avg("l_quantity").alias("mean_rank"), F.avg("l_discount").alias("mean_bits"))
-    return rounded(made, "mean_rank", "mean_bits")
-
-
 # ---- modes: fitted models, rows only --------------------------------------------------------------------------------
 
 
@@ -588,12 +581,6 @@ def ngram_family(spark, d):
     return ngram_program.run(spark, table(spark, d, "documents"), "doc_id", "text", grans=("word",), ks=(16,), lags=(1,), orders=3)
 
 
-@query()
-def corpus_statistics(spark, d):
-    docs = table(spark, d, "documents")
-    return ngram_program.statistics(ngram_program.prepare(ngram_program.symbols(docs, "doc_id", "text", "byte"), "byte", 64))
-
-
 @query(
     """with b as (select unnest(regexp_extract_all(hex(encode(text)), '..')) h, doc_id, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) p from documents),
 r as (select row_number() over (order by doc_id, p) - 1 t, cast('0x' || h as int) raw from b), n as (select 7 * count(*) // 8 e from r),
@@ -603,3 +590,6 @@ select train, tok = -1 unk, count(*) n from c group by 1, 2"""
 def byte_vocabulary_unknowns(spark, d):
     p = ngram_program.prepare(ngram_program.symbols(table(spark, d, "documents"), "doc_id", "text", "byte"), "byte", 16)
     return p.stream.groupBy((F.col("t") < p.train_end).alias("train"), (F.col("x") == 0).alias("unk")).agg(F.count(F.lit(1)).alias("n"))
+
+
+from . import operator_queries  # noqa: E402, F401 (registers its queries)
