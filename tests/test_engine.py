@@ -151,14 +151,33 @@ def test_detect_finds_a_planted_pair_and_nothing_else(spark):
 
 
 def test_grouped_newton_equals_mllib(spark):
-    rng = np.random.default_rng(2)
-    made = [(int(a), int(b), int(rng.random() < 0.2 + 0.15 * a), "tr") for a, b in zip(rng.integers(0, 3, 500), rng.integers(0, 2, 500))]
-    df = spark.createDataFrame(made, "a int, b int, y int, split string")
-    ours = logistic.GroupedLogistic(df, ["a", "b"])
-    model = logistic.fit_mllib(df, ["a", "b"])
-    theirs = {(r["a"], r["b"]): r["probability"][1] for r in model.transform(df).collect()}
-    for a, b, p in zip(*ours.codes, ours.p):
-        assert p == pytest.approx(theirs[a, b], abs=1e-5)
+    rows = [(i, i % 3, (i * 7) % 4, int((i % 3 + i * 7 % 4 + i % 5) % 2 == 0), "te" if i % 4 == 3 else "tr") for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, a int, b int, y int, split string")
+    ours = logistic.fit_logistic(df, ["a", "b"])
+    assert isinstance(ours, logistic.GroupedLogistic)
+    spread = logistic.SpreadLogistic(ours.frame, ["a", "b"])
+    assert spread.additive_bits == pytest.approx(ours.additive_bits, abs=1e-5)
+    assert spread.pair_bits(0, 1, 10) == pytest.approx(ours.pair_bits(0, 1, 10), abs=1e-4)
+    assert ours.pair_bits(0, 1, 10_000) is None and spread.pair_bits(0, 1, 10_000) is None
+    p = {(r["g0"], r["g1"]): r["p"] for r in spread.residual_frame(["g0", "g1"]).collect()}
+    assert p == pytest.approx({(r["g0"], r["g1"]): r["p"] for r in ours.residual_frame(["g0", "g1"]).collect()}, abs=1e-4)
+
+
+def test_detect_beyond_the_driver_bounds_gives_the_same_verdict(spark, monkeypatch):
+    rows = [(i, f"a{i % 4}", f"b{i // 4 % 3}", f"c{i % 7}", int((i % 4 + i // 4 % 3) % 2 == (0 if i % 11 else 1))) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, fa string, fb string, fc string, good int")
+    near = detect(df, "good", id_col="id", draws=3)
+    monkeypatch.setattr(logistic, "MOST_GROUPS", 10)
+    with pytest.raises(ValueError):
+        logistic.GroupedLogistic(logistic.grouped(spark.createDataFrame([(i, 0, "tr") for i in range(20)], "a int, y int, split string"), ["a"]), ["a"])
+    far = detect(df, "good", id_col="id", draws=3)
+    a, b = near.summary.first(), far.summary.first()
+    assert a["verdict"] == b["verdict"] == "clears_null" and (a["best_a"], a["best_b"]) == (b["best_a"], b["best_b"]) == ("fa", "fb")
+    assert b["best_bits"] == pytest.approx(a["best_bits"], abs=1e-3) and b["additive_bits"] == pytest.approx(a["additive_bits"], abs=1e-3)
+    monkeypatch.setattr(logistic, "MOST_GROUPS", 200_000)
+    monkeypatch.setattr(logistic, "MOST_ENTRIES", 84 * 16)
+    wide = detect(df, "good", id_col="id", draws=3).summary.first()
+    assert wide["best_bits"] == pytest.approx(a["best_bits"], abs=1e-3)
 
 
 def test_permutations_keep_values_and_change_places(rows):
