@@ -33,6 +33,9 @@ def run_cell(spark: SparkSession, K: int = 8, n_cand: int = 20, samples: int = 2
     the number of training rows but for the first positions, whose lags are undefined.  (The reference's samples is the
     length of the stream.)"""
     n = 2 * 7 * samples
+    note = verdict.width_guard(K, W, pairs=0)
+    if note:
+        return {"K": K, "n_cand": n_cand, "samples": samples, "seed": seed, "W": W, "true_lag": k, "bar": math.log2(K), "note": note}
     stream = generators.single_interaction(spark, n, K, k, seed)
     d = cells.stream_design(stream, n, K, K, max(W, n_cand + 1), n_cand + 1, slots=list(range(W)))
     base = cells.fit_additive(d)
@@ -205,7 +208,7 @@ def alsmulti(spark: SparkSession, **options) -> DataFrame:
 
 
 def speed(spark: SparkSession, K: int = 16, samples: int = 20_000, W: int = 6, opponent_rounds: int = 60, epochs: int = 100) -> DataFrame:
-    """Wall seconds of the hot paths and of both opponents on one design."""
+    """Wall seconds of the hot paths, of the dense fit that they replace, and of both opponents on one design."""
     n = 4 * samples
     d = cells.stream_design(generators.single_interaction(spark, n, K, 4, 0), n, K, K, W, W)
     base = cells.fit_additive(d)
@@ -213,6 +216,7 @@ def speed(spark: SparkSession, K: int = 16, samples: int = 20_000, W: int = 6, o
         spark,
         [
             timed("read-out fit", lambda: (cells.fit_additive(d), {"bits": None, "acc": None, "width": base.parameters})[1]),
+            timed("dense read-out fit", lambda: (readout.solve_ridge(*readout.dense_products(d.train, d.slots, d.sizes, "y", d.classes), 1e-2), {"bits": None, "acc": None, "width": base.parameters})[1]),
             timed("criterion, all pairs", lambda: (cells.residual_scores(d, base, d.slots).count(), {"bits": None, "acc": None})[1]),
             timed("exact block", lambda: cells.exact_block(d, [("x0", "x4")])),
             timed("low-rank block", lambda: cells.lowrank_block(d, [("x0", "x4")])[0]),

@@ -42,6 +42,44 @@ def sweep(spark: SparkSession, mode: str, options: dict[str, str], **fixed) -> D
     return out
 
 
+def verdict_lines(mode: str, rows: list[dict]) -> list[str]:
+    """What the rows of a mode say, derived from their numbers alone."""
+    out = []
+    done = [r for r in rows if not r.get("note")]
+    out += [r["note"] for r in rows if r.get("note")]
+    if mode in ("demo", "envelope") and done:
+        out.append(f"true lag ranked first in {sum(r['rank'] == 1 for r in done)} of {len(done)} cells")
+        out += [f"K={r['K']} n={r['samples']}: picked block at {r['pick_bits']:.4f} of {r['bar']:.2f} bits ({'recovered' if r['pick_bits'] < 0.05 * r['bar'] else 'not recovered'})" for r in done if r["pick_bits"] is not None]
+        out += [f"pick {'clears' if r['pick_z'] > 2 else 'is inside'} its null, z = {r['pick_z']:.2f}" for r in done if r.get("pick_z") is not None]
+    elif mode in ("vs-all", "vs-gbdt", "als", "speed") and done:
+        scored = [r for r in done if r["bits"] is not None and not r["arm"].startswith("check")]
+        if scored:
+            best = min(scored, key=lambda r: r["bits"])
+            out.append(f"best arm: {best['arm']} at {best['bits']:.4f} bits")
+        out += [f"{r['arm']}: {r['bits']:.4f} bits, {'fit for comparison' if r['bits'] < 0.2 and r['acc'] > 0.95 else 'NOT fit for comparison'}" for r in done if r["arm"].startswith("check")]
+    elif mode.startswith("boosting") and rows:
+        last = max(rows, key=lambda r: r["round"])
+        gates = abs(last["additive_bits"] - last["bar"]) <= 0.05 and last["oracle_bits"] is not None and last["oracle_bits"] <= 0.05
+        out.append(f"{last['hits']} of {last['M']} interactions found, {last['bits']:.4f} bits against an oracle of {last['oracle_bits']}; instrument {'valid' if gates else 'NOT valid'}")
+    elif mode in ("multi", "alsmulti"):
+        out += [f"{r['hits']} of {r['M']} interactions found, {r['mean_bits']:.4f} bits per head" for r in rows]
+    elif mode == "pool":
+        out += [f"N={r['N']}: true pair ranked {r['rank']}, pick {'clears' if r['clears'] else 'does not clear'} the null of the best" for r in rows]
+    elif mode == "emit" and rows:
+        out.append(f"emitted table: {sum(r['g'] == r['truth'] for r in rows) / len(rows):.4f} of its entries are the rule's")
+    elif mode == "real":
+        out += [f"noise {r['noise']} rare {r['rare']}: rank {r['rank_equal']} by equal weight, {r['rank_weighted']} by counts" for r in rows]
+    elif mode == "natural":
+        out += [f"pick ({r['pick_i']}, {r['pick_j']}): rank {r['rank_by_bits'] or 'not computed'} by bits, gain {r['additive_bits'] - r['pick_bits']:.4f}" for r in rows]
+    elif mode == "fields":
+        out += [f"true pair ranked {r['rank']}, block gains {r['additive_bits'] - r['pick_bits']:.4f} bits" for r in done]
+    elif mode in ("tune", "gbm") and rows:
+        ours, others = [r for r in rows if r["kind"] == "ours"], [r for r in rows if r["kind"] not in ("ours", "additive")]
+        if ours and others:
+            out.append(f"ours {ours[0]['bits']:.4f} bits, best opponent {min(r['bits'] for r in others):.4f}")
+    return out
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("mode", choices=sorted(MODES))
@@ -62,7 +100,9 @@ def main(argv: list[str] | None = None) -> None:
 
             p = prepare(symbols(texts, "doc_id", "text", options.pop("gran", "byte")), "byte", int(options["K"]))
             fixed |= {"symbols": p.stream, "n": p.n}
-    sweep(spark, known.mode, options, **fixed).show(200, truncate=False)
+    rows = sweep(spark, known.mode, options, **fixed).collect()
+    print("\n".join("  ".join(f"{k}={v}" for k, v in r.asDict().items() if v is not None) for r in rows))
+    print("\n".join(verdict_lines(known.mode, [r.asDict() for r in rows])))
 
 
 if __name__ == "__main__":

@@ -1,10 +1,11 @@
 """The modes do their whole job: ranks over all pairs, one rule from samples to rows, every arm."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairscope.operators import nulls
-from pairscope.plans import cells, modes, registry
+from pairscope.operators import nulls, readout, suffstats
+from pairscope.plans import cells, cli, modes, ngram_program, registry, run_mode
 from pairscope.sources import generators
 
 
@@ -109,3 +110,29 @@ def test_pool_gives_every_candidate_its_own_shuffle(spark, monkeypatch):
     row = modes.pool_mode(spark, N=3, K=4, samples=600, a=0, b=2, draws=2).first()
     assert kept[0].count() == 2 * 3
     assert row["threshold"] == pytest.approx(nulls.null_threshold(kept[0]).first()["threshold"])
+
+
+def test_dense_products_equal_the_counts(spark):
+    rows = symbols(spark, 500).selectExpr("cast(x as int) a", "cast(t % 3 as int) b", "cast((x + t) % 2 as int) y")
+    gram, rhs = readout.dense_products(rows.repartition(3), ["a", "b"], [4, 3], "y", 2)
+    made = suffstats.Tables(rows, ["a", "b", "y"], [4, 3, 2])
+    assert np.allclose(gram, suffstats.gram_with_intercept(made, ["a", "b"])) and np.allclose(rhs, suffstats.target_products(made, ["a", "b"], "y"))
+
+
+def test_wide_cells_are_skipped_rows(spark):
+    row = modes.demo(spark, K=1024, samples=100, W=10).first()
+    assert row["note"].startswith("SKIPPED: width") and row["bits" if "bits" in row else "base_bits"] is None
+    assert run_mode.verdict_lines("demo", [row.asDict()]) == [row["note"]]
+
+
+def test_verdict_lines_and_ngram_report(spark, tmp_path):
+    lines = run_mode.verdict_lines("pool", [{"N": 15, "rank": 1, "clears": True}])
+    assert lines == ["N=15: true pair ranked 1, pick clears the null of the best"]
+    got = [r.asDict() for r in modes.emit(spark, K=4, samples=1500).collect()]
+    assert run_mode.verdict_lines("emit", got) == ["emitted table: 1.0000 of its entries are the rule's"]
+    texts = spark.createDataFrame([(i, "the cat sat on the mat " * 30) for i in range(12)], "doc_id long, text string")
+    cards, said = ngram_program.report(spark, texts, "doc_id", "text", ("word",), (4,), (1, 30), 2)
+    assert cards.count() == 2 and [x.split(":")[0] for x in said] == ["S0 word k=4 lag=1", "S1"]
+    assert "PASS" in said[0] and said[1].startswith("S1: AUTHORISED")
+    line = cli.verdict_line({"verdict": "inside_null", "best_a": "a", "best_b": "b", "gain": 0.01, "pick_score": 1.0, "threshold": 2.0})
+    assert line.startswith("NOT SIGNIFICANT: a x b")
