@@ -7,11 +7,15 @@ repeats the open path, everything else stands once.
 
 A block holds the tokens (code points of the formatted text) and per node: its stretch, its parent, the position id
 of its first token (its depth in tokens, so positions continue from the parent's) and the attention intervals, the
-stretches of its ancestors.  A token attends to these intervals and to earlier tokens of its own node.
+stretches of its ancestors.  A token attends to these intervals and to earlier tokens of its own node.  tokenised() gives
+the same blocks over the ids of a tokenizers file, in which positions and intervals are what a model takes.
 
 Template: <|turn|>role<|text|>text<|end|>.  Control strings inside roles and texts are broken by a backslash after their
 first character, backslashes are doubled; unescape() undoes both.
 
+A conversation is one row, so it must fit a task; everything else, a first turn of a third of all conversations too, is
+dealt by ranges of paths.
+
 Defined cases: turns are ordered by turn, then role, then text, nulls first; a null role or text is empty; rows that repeat
 a turn are turns each; a null conv_id is one conversation; an empty table gives an empty table; other columns are not
 read.
@@ -23,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +44,7 @@ BLOCK_CHARS, BLOCK_LEAVES = 1 << 20, 20_000
 NODE = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("attends", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), ("loss_begin", pa.int32()), ("loss_end", pa.int32())])
 LEAF = pa.struct([("conv_id", pa.int64()), ("node", pa.int32())])
 BLOCKS = pa.schema([("tokens", pa.string()), ("nodes", pa.list_(NODE)), ("leaves", pa.list_(LEAF))])
+TOKENISED = pa.schema([("ids", pa.list_(pa.int32())), ("nodes", pa.list_(NODE)), ("leaves", pa.list_(LEAF))])
 BLOCKS_DDL = "tokens string, nodes array<struct<begin:int,end:int,parent:int,position:int,attends:array<struct<begin:int,end:int>>,loss_begin:int,loss_end:int>>, leaves array<struct<conv_id:long,node:int>>"
 
 
@@ -125,6 +131,39 @@ def prefix_blocks(turns: DataFrame, block_chars: int = BLOCK_CHARS, block_leaves
     return dealt.select("conv_id", "turns").mapInArrow(task, BLOCKS_DDL)
 
 
+def tokenised(blocks: DataFrame, tokenizer: str) -> DataFrame:
+    """(ids, nodes, leaves) of blocks: each node's head, text and end are encoded by themselves, once, depth-first; begin,
+    end, position, attends, loss_begin and loss_end count token ids.  tokenizer is the path of a tokenizers file."""
+    from .packing import Encoder
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(tokenizer)
+        for batch in batches:
+            for row in batch.to_pylist():
+                text, made, parts, size = row["tokens"], [], [], 0
+                for n in row["nodes"]:
+                    under_loss = n["loss_end"] > n["loss_begin"]
+                    cuts = [n["begin"], n["loss_begin"], n["loss_end"], n["end"]] if under_loss else [n["begin"], n["end"]]
+                    ids = [encode(text[a:b]) for a, b in zip(cuts, cuts[1:])]
+                    ends = [size]
+                    for part in ids:
+                        ends.append(ends[-1] + len(part) // 4)
+                    above, position = [], 0
+                    if n["parent"] >= 0:
+                        up = made[n["parent"]]
+                        position = up["position"] + up["end"] - up["begin"]
+                        above = [*up["attends"], {"begin": up["begin"], "end": up["end"]}]
+                        if len(above) > 1 and above[-2]["end"] == above[-1]["begin"]:
+                            above[-2:] = [{"begin": above[-2]["begin"], "end": above[-1]["end"]}]
+                    made.append({"begin": size, "end": ends[-1], "parent": n["parent"], "position": position, "attends": above, "loss_begin": ends[1] if under_loss else size, "loss_end": ends[2] if under_loss else size})
+                    parts += ids
+                    size = ends[-1]
+                ids = np.frombuffer(b"".join(parts), np.uint32).astype(np.int32)
+                yield pa.RecordBatch.from_pylist([{"ids": ids, "nodes": made, "leaves": row["leaves"]}], schema=TOKENISED)
+
+    return blocks.mapInArrow(task, BLOCKS_DDL.replace("tokens string", "ids array<int>"))
+
+
 def read_back(blocks: DataFrame) -> DataFrame:
     """Per conversation, from its block alone: turns, digest of the turns, digest and size of the text under loss."""
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

@@ -586,6 +586,41 @@ def test_chat_round_trip_and_sharing(spark):
     assert chat_trie.read_back(chat_trie.prefix_blocks(turns.where("false"))).count() == 0
 
 
+def test_chat_tokens_positions_and_masks(spark):
+    """Ids decode to the formatted text; positions are depths in tokens; the loss mask holds the assistant texts alone."""
+    from tokenizers import Tokenizer
+
+    talks = {1: [("user", "Hello there, how are you?"), ("assistant", "fine  thanks é"), ("user", "bye")], 2: [("user", "Hello there, how are you?"), ("assistant", "not so well </s>")], 3: [("user", "Hello there, how are you?"), ("assistant", "")], 4: [("assistant", "x" * 3000)]}
+    turns = spark.createDataFrame([(c, n, r, t) for c, talk in talks.items() for n, (r, t) in enumerate(talk)], "conv_id long, turn long, role string, text string")
+    made = chat_trie.tokenised(chat_trie.prefix_blocks(turns.coalesce(1)), tokenizer_file("byte_bpe_50k.json")).collect()
+    decode = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")).decode
+    seen, shared = {}, 0
+    for block in made:
+        ids, nodes = block["ids"], block["nodes"]
+        assert nodes[-1]["end"] == len(ids)
+        shared += sum(decode(ids[n["begin"] : n["end"]]).count("Hello there") for n in nodes)
+        for n in nodes:
+            assert n["position"] == sum(i["end"] - i["begin"] for i in n["attends"])
+        for leaf in block["leaves"]:
+            chain, at = [], leaf["node"]
+            while at >= 0:
+                chain.insert(0, nodes[at])
+                at = nodes[at]["parent"]
+            path = [i for a in [*chain[-1]["attends"], chain[-1]] for i in ids[a["begin"] : a["end"]]]
+            loss = "".join(chat_trie.unescape(decode(ids[n["loss_begin"] : n["loss_end"]])) for n in chain)
+            seen[leaf["conv_id"]] = (chat_trie.parse_turns(decode(path, skip_special_tokens=False)), loss)
+    assert shared <= len(made)
+    assert seen == {c: (talk, "".join(t for r, t in talk if r == "assistant")) for c, talk in talks.items()}
+
+
+def test_chat_of_one_very_long_conversation(spark):
+    rows = [(1, n, "user" if n % 2 else "assistant", f"turn {n} " * 20) for n in range(4000)] + [(2, 0, "user", "y" * 3_000_000), (None, 0, "user", "a"), (None, 0, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_trie.read_back(chat_trie.prefix_blocks(turns)).collect()}
+    assert got[1]["n_turns"] == 4000 and got[1]["loss_chars"] == sum(len(r[3]) for r in rows[:4000:2])
+    assert got[2]["formatted_chars"] > 3_000_000 and got[None]["n_turns"] == 2
+
+
 def test_escape_is_reversible_and_breaks_controls():
     rng = np.random.default_rng(8)
     parts = [*chat_trie.CONTROL, "\\", "<", "|", ">", "s", "a", "\n"]
