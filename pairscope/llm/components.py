@@ -23,7 +23,7 @@ def connected_components(links: DataFrame, src: str, dst: str, max_rounds: int =
     edges = links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(f"{src} is not null and {dst} is not null and {src} <> {dst}").distinct()
     edges = stored(edges, "links")
     before = fingerprint(edges)
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if before[0] else 0):
         # large star: neighbours above u go to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -38,5 +38,6 @@ def connected_components(links: DataFrame, src: str, dst: str, max_rounds: int =
             break
         before = after
     else:
-        raise RuntimeError("components did not settle")
+        if before[0]:
+            raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

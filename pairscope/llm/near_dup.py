@@ -155,22 +155,19 @@ def prefix_pairs(placed: DataFrame, sets: DataFrame, percent: int, similar) -> D
     return met.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y")).distinct()
 
 
-def classes_of(all_sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sketches with a set and an id, and (n, set_a, set_b, rep): the smallest id of each distinct set."""
-    full = all_sketches.where("n > 0 and id is not null")
-    return full, full.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"))
-
-
-def linked_components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, m: int, r: int) -> tuple[DataFrame, DataFrame]:
-    """Stored sketches of all rows, and stored (id, component) of the class representatives that have links."""
+def linked_components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, m: int, r: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored sketches of all rows, stored (id, n, rep) of the rows that have a set and an id, rep being the smallest id of an
+    equal set, and stored (id, component) of the representatives that have links."""
     all_sketches = stored(sketches(docs, id_col, text_col, words, m, r), "sketches")
-    full, classes = classes_of(all_sketches)
+    full = all_sketches.where("n > 0 and id is not null")
+    # a table of its own, so that rows meet a class of a third of them in many tasks
+    classes = stored(full.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep")), "classes")
+    placed = stored(full.select("id", "n", "set_a", "set_b").join(classes, ["n", "set_a", "set_b"]).select("id", "n", "rep"), "classed")
     # an id that repeats with different texts can stand for several classes; its rows here are then several
     reps = full.join(classes, ["n", "set_a", "set_b"]).where("id = rep").dropDuplicates(["id", "n", "set_a", "set_b"]).select("id", "n", "bits", "a", "b")
-    placed = full.join(classes, ["n", "set_a", "set_b"]).select("id", "rep")
     spread = stored(placed.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id", "x", "hi"), "repeated")
     repeated = not spread.isEmpty()
-    same = placed.join(spread.where("x < hi"), "id").where("rep > x").select("x", F.col("rep").alias("y")).distinct()
+    same = placed.select("id", "rep").join(spread.where("x < hi"), "id").where("rep > x").select("x", F.col("rep").alias("y")).distinct()
     table = F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))).alias("key")
     members = reps.select("id", "n", "bits", table)
 
@@ -208,6 +205,8 @@ def linked_components(docs: DataFrame, id_col: str, text_col: str, words: int, p
     # second star: against the member with most links
     degree = links.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     open1 = apart(parts)
+    if open1.isEmpty():
+        return all_sketches, placed, parts
     hubs = open1.join(degree, "id").where("id <> leader").groupBy("key").agg(F.max(F.struct("degree", "id", "n", "bits", "part")).alias("hub")).select("key", F.col("hub.id").alias("x"), F.col("hub.n").alias("x_n"), F.col("hub.bits").alias("x_bits"), F.col("hub.part").alias("x_part"))
     hubs = stored(hubs, "hubs")
     second = (
@@ -219,26 +218,27 @@ def linked_components(docs: DataFrame, id_col: str, text_col: str, words: int, p
         .distinct()
     )
     second, more = settled(second)
-    links = links.unionByName(more)
-    parts = stored(connected_components(links, "x", "y"), "parts")
+    open2 = open1
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        parts = stored(connected_components(links, "x", "y"), "parts")
+        open2 = apart(parts)
 
     # the rest: members of keys that hold several components, all of them
-    open2 = apart(parts)
     sets = stored(sets_of(docs, open2.select("id").distinct(), id_col, text_col, words, repeated), "sets")
     third = prefix_pairs(open2.select("id", "n", "bits", "part").distinct(), sets, percent, similar)
     last = confirmed(stored(third, "pairs"), sets, percent)
-    links = links.unionByName(last)
-    parts = stored(connected_components(links, "x", "y"), "parts")
-    return all_sketches, parts
+    if not last.isEmpty():
+        parts = stored(connected_components(links.unionByName(last), "x", "y"), "parts")
+    return all_sketches, placed, parts
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, m: int = M, r: int = R) -> DataFrame:
     """(id, n_shingles, component_id) per row of docs; links need percent/100 similarity of word shingle sets."""
     with scratch() as keep:
-        all_sketches, parts = linked_components(docs, id_col, text_col, words, percent, m, r)
-        keep(all_sketches), keep(parts)
-    full, classes = classes_of(all_sketches)
-    classed = full.join(classes, ["n", "set_a", "set_b"], "left").select(F.col("id"), "n", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+        all_sketches, placed, parts = linked_components(docs, id_col, text_col, words, percent, m, r)
+        keep(all_sketches), keep(placed), keep(parts)
+    classed = placed.join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     grouped = classed.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     rest = all_sketches.where("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return grouped.unionByName(rest)
