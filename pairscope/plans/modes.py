@@ -207,11 +207,12 @@ def alsmulti(spark: SparkSession, **options) -> DataFrame:
     return multi(spark, lowrank_heads=True, **options)
 
 
-def speed(spark: SparkSession, K: int = 16, samples: int = 20_000, W: int = 6, opponent_rounds: int = 60, epochs: int = 100) -> DataFrame:
+def speed(spark: SparkSession, K: int = 16, samples: int = 20_000, W: int = 6, opponent_rounds: int = 60, epochs: int = 100, with_opponents: bool = True) -> DataFrame:
     """Wall seconds of the hot paths, of the dense fit that they replace, and of both opponents on one design."""
     n = 4 * samples
     d = cells.stream_design(generators.single_interaction(spark, n, K, 4, 0), n, K, K, W, W)
     base = cells.fit_additive(d)
+    rivals = [timed("boosted trees", lambda: opponent(d, "gbt", rounds=opponent_rounds)), timed("factorisation machine", lambda: opponent(d, "fm", rounds=epochs))] if with_opponents else []
     return rows_frame(
         spark,
         [
@@ -220,8 +221,7 @@ def speed(spark: SparkSession, K: int = 16, samples: int = 20_000, W: int = 6, o
             timed("criterion, all pairs", lambda: (cells.residual_scores(d, base, d.slots).count(), {"bits": None, "acc": None})[1]),
             timed("exact block", lambda: cells.exact_block(d, [("x0", "x4")])),
             timed("low-rank block", lambda: cells.lowrank_block(d, [("x0", "x4")])[0]),
-            timed("boosted trees", lambda: opponent(d, "gbt", rounds=opponent_rounds)),
-            timed("factorisation machine", lambda: opponent(d, "fm", rounds=epochs)),
+            *rivals,
         ],
         ARM_DDL,
     )
