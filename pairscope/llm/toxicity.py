@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import discard, small_batches, stored
 
 EXAMPLES_TOXIC, EXAMPLES_CLEAN, NEIGHBOURS, BLOCK = 1000, 2000, 15, 64
-LEAST_SHARE, MOST_SHARE, LEAST_SUPPORT = 0.01, 0.1, 5
+LEAST_SHARE, MOST_SHARE, LEAST_SUPPORT = 0.005, 0.1, 5
 FLOOR, FULL_Z = 0.1, 8.0
-PREFIXES = (5,)
+PREFIXES = (4,)
 #: Letters and digits of ASCII in lower case and all bytes of other characters make words; all else separates.
 FOLD = bytes(b if b >= 128 or chr(b).isalnum() and not chr(b).isupper() else ord(chr(b).lower()) if chr(b).isupper() else 32 for b in range(256))
 
