@@ -430,7 +430,7 @@ def test_benchmark_in_blocks(spark, monkeypatch):
 
 def toxic_rows():
     rng = np.random.default_rng(4)
-    bad = ["vile", "rotten", "scummy"]
+    bad = ["vile", "rotten", "scummy", "nasty", "foul", "gross"]
     rows, labels = [], []
     for i in range(800):
         toxic = i % 8 == 0
