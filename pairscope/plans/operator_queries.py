@@ -14,7 +14,7 @@ from ..sources import generators
 from ..sources.shared import shared_root
 from ..sources.tables import categorical_fields, csv_table, table
 from . import cells, modes, ngram_program, run_mode
-from .registry import EVENTS, FIELDS, LINES, ORDERS, SHUFFLED, STREAM, TEST, event_rows, fit_sql, line_items, ngram_sql, pair_sql, query, rounded, sym_sql, symbol_stream
+from .registry import EVENTS, FIELDS, LINES, ORACLES, ORDERS, SHUFFLED, STREAM, TEST, event_rows, fit_sql, line_items, ngram_sql, pair_sql, query, rounded, sym_sql, symbol_stream
 
 # ---- sources --------------------------------------------------------------------------------------------------------
 
@@ -317,3 +317,8 @@ def corpus_statistics(spark, d):
     docs = table(spark, d, "documents")
     made = ngram_program.statistics(ngram_program.prepare(ngram_program.symbols(docs, "doc_id", "text", "byte"), "byte", 64))
     return rounded(made, "train_unk_rate", "test_unk_rate", "top1_share", "freq_kl", digits=9)
+
+
+# mode emit at its registered size: the emitted class is the rule's in every cell
+ORACLES["mode_emit"] = f"""with s as (select t, {sym_sql(0, 1, 6)} a, {sym_sql(0, 2, 6)} b from (select unnest(range(12000)) t)), c as (select a, b, count(*) n from s where t >= 4 and (t - 4) % 7 = 0 and t < 6000 group by 1, 2),
+g as (select unnest(range(6)) k) select cast(x.k as int) a, cast(y.k as int) b, cast((x.k + y.k) % 2 as int) g, cast((x.k + y.k) % 2 as int) truth, coalesce(n, 0) n from g x cross join g y left join c on c.a = x.k and c.b = y.k"""
