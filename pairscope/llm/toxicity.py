@@ -93,15 +93,17 @@ def vector(at: np.ndarray, counts: np.ndarray, scale: np.ndarray) -> tuple[np.nd
 def clusters(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, count: int = 16, rounds: int = 6) -> list[int]:
     """A cluster per example by a few rounds of spherical k-means: examples of one kind, as of one language, share blocks of
     the index, whose bounds are tighter then.  Only speed depends on it."""
-    dense = np.zeros((len(vectors), terms), np.float32)
-    for row, (at, w) in zip(dense, vectors):
-        row[at] = w
-    centres = dense[:: max(1, len(vectors) // count)][:count]
+    first = vectors[:: max(1, len(vectors) // count)][:count]
+    centres = np.zeros((len(first), terms))
+    for c, (at, w) in enumerate(first):
+        centres[c, at] = w
     for _ in range(rounds):
-        kind = (dense @ centres.T).argmax(1)
-        sums = np.stack([dense[kind == c].sum(0) for c in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return kind.tolist()
+        kind = [int((centres[:, at] @ w).argmax()) for at, w in vectors]
+        centres = np.zeros_like(centres)
+        for c, (at, w) in zip(kind, vectors):
+            centres[c, at] += w
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return kind
 
 
 class BlockMaxIndex:
