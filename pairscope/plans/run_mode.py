@@ -99,7 +99,7 @@ def main(argv: list[str] | None = None) -> None:
             from .ngram_program import prepare, symbols
 
             p = prepare(symbols(texts, "doc_id", "text", options.pop("gran", "byte")), "byte", int(options["K"]))
-            fixed |= {"symbols": p.stream, "n": p.n}
+            fixed |= {"symbols": p.packed, "n": p.n}
     rows = sweep(spark, known.mode, options, **fixed).collect()
     print("\n".join("  ".join(f"{k}={v}" for k, v in r.asDict().items() if v is not None) for r in rows))
     print("\n".join(verdict_lines(known.mode, [r.asDict() for r in rows])))
