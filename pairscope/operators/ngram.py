@@ -1,8 +1,8 @@
 """Interpolated-backoff n-grams as counts and joins.
 
 p_n(y) = (count(ctx, y) + alpha * p_{n-1}(y)) / (total(ctx) + alpha), p_0 = 1 / V.  One set of count tables serves all
-orders; positions meet them by (context) and (context, y).  Accuracy needs the best symbol of a context only, so the
-distribution is spread over V for distinct contexts, not for positions."""
+orders; positions meet them by (context) and (context, y), counted first: w positions that share both are one row.
+Accuracy needs the best symbol of a context only, so the distribution is spread over V for distinct contexts."""
 
 from __future__ import annotations
 
@@ -31,12 +31,19 @@ def fit_filter(t: Column, start: int, end: int, lag: int, order: int) -> Column:
     return inside & (t - order + 1 >= start) if order > 1 else inside
 
 
+def counted(rows: DataFrame, order: int, marks: dict[str, Column]) -> DataFrame:
+    """(*marks, x0.., y, w): the number of positions that share a context, a symbol and the marks, of which they meet one."""
+    ctx = context_columns(order)
+    marked = rows.select(*[c.alias(m) for m, c in marks.items()], *ctx, "y").where(" or ".join(marks))
+    return marked.groupBy(*marks, *ctx, "y").agg(F.count(F.lit(1)).alias("w"))
+
+
 def tables(train: DataFrame, order: int) -> dict[int, tuple[DataFrame, DataFrame]]:
     """order -> (counts by context and y, totals by context)."""
     out = {}
     for n in range(1, order + 1):
         ctx = context_columns(n)
-        counts = train.groupBy(*ctx, "y").agg(F.count(F.lit(1)).alias(f"c{n}"))
+        counts = train.groupBy(*ctx, "y").agg(F.sum("w").alias(f"c{n}"))
         out[n] = (counts, counts.groupBy(*ctx).agg(F.sum(f"c{n}").alias(f"n{n}")))
     return out
 
@@ -74,21 +81,36 @@ def scorecard(scored: DataFrame, order: int, unk: int = 0) -> DataFrame:
     real = F.col("y") != unk
     right = (F.col("pred") == F.col("y")).cast("int")
     return scored.agg(
-        F.avg(hit).alias("bps"), F.avg(right).alias("acc"), F.count(F.lit(1)).alias("n"), F.avg((~real).cast("int")).alias("unk_true_rate"), F.avg((F.col("pred") == unk).cast("int")).alias("unk_pred_rate"),
-        F.avg(F.when(real, hit)).alias("bps_real"), F.avg(F.when(real, right)).alias("acc_real"), F.count_if(real).alias("n_real"),
+        mean(hit).alias("bps"), mean(right).alias("acc"), total().alias("n"), mean((~real).cast("int")).alias("unk_true_rate"), mean((F.col("pred") == unk).cast("int")).alias("unk_pred_rate"),
+        mean(F.when(real, hit)).alias("bps_real"), mean(F.when(real, right)).alias("acc_real"), total(real).alias("n_real"),
     )
 
 
+def total(condition: Column | None = None) -> Column:
+    """Positions behind the rows, or those that meet a condition."""
+    return F.coalesce(F.sum("w" if condition is None else F.when(condition, F.col("w"))), F.lit(0).cast("long"))
+
+
+def mean(value: Column) -> Column:
+    """The mean over positions; null where no row has a value."""
+    return F.sum(value * F.col("w")) / F.sum(F.when(value.isNotNull(), F.col("w")))
+
+
 def evaluate(stream: DataFrame, v: int, order: int, lag: int, train: tuple[int, int], test: Column, alpha: dict[int, float], with_accuracy: bool = True) -> DataFrame:
     """A scorecard per order 1..order, all off one set of tables fitted on the train range."""
-    rows = contexts(stream, order, lag)
-    fitted = tables(rows.where(fit_filter(F.col("t"), *train, lag, order)), order)
-    scored = with_probabilities(rows.where(test), fitted, order, v, alpha)
+    grams = counted(contexts(stream, order, lag), order, {"train": fit_filter(F.col("t"), *train, lag, order), "test": test})
+    return scorecards(grams.where("train"), grams.where("test"), v, order, alpha, with_accuracy)
+
+
+def scorecards(train: DataFrame, test: DataFrame, v: int, order: int, alpha: dict[int, float], with_accuracy: bool = True, only: list[int] | None = None) -> DataFrame:
+    """A scorecard per order (or those named) from counted positions of both sides."""
+    fitted = tables(train, order)
+    scored = with_probabilities(test, fitted, order, v, alpha)
     out = None
-    for n in range(1, order + 1):
+    for n in only or range(1, order + 1):
         ctx = context_columns(n)
         if with_accuracy:
-            pred = predictions(rows.where(test), fitted, n, v, alpha)
+            pred = predictions(test, fitted, n, v, alpha)
             each = scored.join(pred, ctx) if ctx else scored.join(F.broadcast(pred))
         else:
             each = scored.withColumn("pred", F.lit(None).cast("int"))
@@ -97,17 +119,25 @@ def evaluate(stream: DataFrame, v: int, order: int, lag: int, train: tuple[int,
     return out
 
 
+def alpha_marks(train_end: int, order: int, lag: int) -> dict[str, Column]:
+    """fit: what the models of the alpha choice are fitted on; held: the last eighth (256 at least) of the training side."""
+    start, t = train_end - max(256, train_end // 8), F.col("t")
+    return {"fit": fit_filter(t, 0, start, lag, order), "held": (t >= start + max(order - 1, 1)) & (t + lag < train_end)}
+
+
 def alpha_bits(stream: DataFrame, v: int, order: int, lag: int, train_end: int, alphas=ALPHAS) -> DataFrame:
-    """(order, alpha, bps) on the validation slice, the last eighth (256 at least) of the training side."""
-    start = train_end - max(256, train_end // 8)
-    rows = contexts(stream, order, lag)
-    fitted = tables(rows.where(fit_filter(F.col("t"), 0, start, lag, order)), order)
-    t = F.col("t")
-    held = rows.where((t >= start + max(order - 1, 1)) & (t + lag < train_end))
+    """(order, alpha, bps) on the validation slice."""
+    grams = counted(contexts(stream, order, lag), order, alpha_marks(train_end, order, lag))
+    return alpha_bits_of(grams.where("fit"), grams.where("held"), v, order, alphas)
+
+
+def alpha_bits_of(fit: DataFrame, held: DataFrame, v: int, order: int, alphas=ALPHAS) -> DataFrame:
+    """(order, alpha, bps) from counted positions."""
+    fitted = tables(fit, order)
     grid = held.sparkSession.createDataFrame([(float(a),) for a in alphas], "alpha double")
     a = F.col("alpha")
     scored = with_probabilities(held.join(F.broadcast(grid)), fitted, order, v, {n: a for n in range(1, order + 1)})
-    floors = [F.avg(-F.log2(F.greatest(F.col(f"p{n}"), F.lit(1e-12)))).alias(f"b{n}") for n in range(1, order + 1)]
+    floors = [mean(-F.log2(F.greatest(F.col(f"p{n}"), F.lit(1e-12)))).alias(f"b{n}") for n in range(1, order + 1)]
     wide = scored.groupBy("alpha").agg(*floors)
     return wide.select("alpha", F.inline(F.array(*[F.struct(F.lit(n).alias("order"), F.col(f"b{n}").alias("bps")) for n in range(1, order + 1)])))
 

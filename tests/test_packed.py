@@ -1,4 +1,4 @@
-"""Packed streams against rows, and what mode real writes beside the texts they read."""
+"""Packed streams against rows, and what the n-gram program and mode real write beside the texts they read."""
 
 import random
 import re
@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from pairscope.operators import lags, split
+from pairscope.operators import lags, ngram, split
 from pairscope.plans import modes, ngram_program, registry
 from pairscope.sources import packed
 from pairscope.sources.shared import shared_root
@@ -50,9 +50,26 @@ def test_lags_reach_over_short_texts(spark, monkeypatch, chunk):
     monkeypatch.setattr(packed, "ROWS", 50)
     df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").repartition(3)
     p = ngram_program.prepare(ngram_program.symbols(df, "doc_id", "text", "word"), "word", 6)
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
     for back, start, stride in (([0, 3, 64], 0, 1), (list(range(11)), 11, 4), ([0, 70], 2, 3)):
         want = lags.with_lags(p.stream, back).where(split.strided(F.col("t"), start, stride)).select("t", *[f"x{j}" for j in back])
         assert [tuple(r) for r in packed.strided_lags(p.packed, back, start, stride).select(want.columns).orderBy("t").collect()] == [tuple(r) for r in want.orderBy("t").collect()]
+    for order, lag in ((1, 1), (3, 1), (4, 23), (2, 70)):
+        names = ["t", *[f"x{i}" for i in range(max(order - 1, 1))], "y"]
+        got, want = (f(s, order, lag).where(F.col("t") >= order - 2).select(names) for f, s in ((packed.contexts, p.packed), (ngram.contexts, p.stream)))
+        assert rows(got) == rows(want)
+
+
+def test_family_is_the_same_on_packed_and_plain_streams(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice("abcde") + rng.choice("xy") for _ in range(rng.randrange(60)))) for i in range(150)]
+    p = ngram_program.prepare(ngram_program.symbols(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", "word"), "word", 8)
+    for a, b in zip(ngram_program.family(p, 2, 3).collect(), ngram_program.family(p, 2, 3, p.stream).collect()):
+        assert a.asDict() == pytest.approx(b.asDict(), nan_ok=True)
+    test = split.eval_positions(F.col("t"), p.train_end, p.n, 2, 2)
+    for row in ngram_program.family(p, 2, 3).collect():
+        own = ngram.evaluate(p.stream, 8, 3, 2, (0, p.train_end), test, dict.fromkeys((1, 2, 3), row["alpha"])).where(F.col("order") == row["order"]).first()
+        assert own["bps"] == pytest.approx(row["bps"]) and own["acc"] == pytest.approx(row["acc"]) and own["n"] == row["n"]
 
 
 def test_real_is_the_same_on_packed_and_plain_streams(spark):
@@ -65,10 +82,10 @@ def test_real_is_the_same_on_packed_and_plain_streams(spark):
 
 def test_no_texts(spark):
     p = ngram_program.prepare(ngram_program.symbols(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), "doc_id", "text", "word"), "word", 8)
-    assert p.n == 0 and p.stream.count() == 0
+    assert p.n == 0 and p.stream.count() == 0 and [r["n"] for r in ngram_program.family(p, 1, 2).collect()] == [0, 0]
 
 
-@pytest.mark.parametrize("query", ["mode_real_bytes"])
+@pytest.mark.parametrize("query", ["mode_real_bytes", "ngram_family"])
 def test_writes_no_more_than_three_times_the_text(spark, tmp_path, query):
     rng = random.Random(5)
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
